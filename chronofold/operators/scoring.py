@@ -48,7 +48,7 @@ def calibration(scored: DataFrame, by: Sequence[str], bins: int) -> DataFrame:
     )
     spine = folded.groupBy(*by).agg(F.lit(1).alias("_")).select(
         *by, F.explode(F.array(*[F.lit(c) for c in scores.CLASSES])).alias("class")
-    ).select("*", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).cast("bigint").alias("bucket"))
+    ).select("*", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(bins - 1).cast("bigint"))).alias("bucket"))
     return spine.join(folded, [*by, "class", "bucket"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
 
 

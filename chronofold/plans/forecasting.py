@@ -289,7 +289,7 @@ def feature_frame(t: Tables) -> DataFrame:
 
 
 @query("feature_long", with_(*FEATS) + f""", wide as (select *, {EXTERNAL_SQL} from ({WIDE}))
-select match_id, feature, feature_value from (unpivot include nulls wide on columns(* exclude (match_id)) into name feature value feature_value)""")
+select match_id, feature, feature_value from wide unpivot include nulls (feature_value for feature in (columns(* exclude (match_id))))""")
 def feature_long(t: Tables) -> DataFrame:
     return features.long_features(wide_features(t)).withColumn("feature_value", F.round("feature_value", 7))
 
@@ -307,7 +307,7 @@ def feature_lineage(t: Tables) -> DataFrame:
 
 
 @query("missing_features", with_(*FEATS) + f""", wide as (select *, {EXTERNAL_SQL} from ({WIDE})),
-long as (select match_id, feature, feature_value from (unpivot include nulls wide on columns(* exclude (match_id)) into name feature value feature_value))
+long as (select match_id, feature, feature_value from wide unpivot include nulls (feature_value for feature in (columns(* exclude (match_id)))))
 select match_id, count(*) as n_missing, string_agg(feature, ',' order by feature) as missing_features from long where feature_value is null group by match_id""")
 def missing_features(t: Tables) -> DataFrame:
     return features.missing_inventory(wide_features(t))

@@ -22,6 +22,7 @@ def local_session(cpus: int | str = 8, **conf: str) -> SparkSession:
         SparkSession.builder.master(f"local[{cpus}]")
         .appName("chronofold")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "12g")
         .config("spark.sql.shuffle.partitions", "8")
         .config("spark.local.dir", tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
