@@ -6,7 +6,7 @@ import importlib
 
 from .registry import ORACLES, PLANS, Query, bind
 
-FAMILIES = ("point_in_time", "forecasting", "market")
+FAMILIES = ("point_in_time", "forecasting", "market", "evidence")
 
 for _family in FAMILIES:
     importlib.import_module(f"{__package__}.{_family}")
