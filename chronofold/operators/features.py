@@ -38,7 +38,7 @@ def last_results(targets: DataFrame, results: DataFrame, mode: str, length: int
     key = ["competition_id", "team"]
     facts = seen.select(*key, "match_id", "completed_at").dropDuplicates([*key, "match_id"]) if "version" in results.columns \
         else seen.select(*key, "match_id", "completed_at")
-    numbered = running.ordinal(facts, key, ["completed_at", "match_id"], running.calendar_slice("completed_at"))
+    numbered = running.ordinal(facts, key, ["completed_at", "match_id"], running.calendar_slice("completed_at", forecast.SLICE))
     usable = seen.select(*key, "match_id", "completed_at", "at", "valid_to", "gf", "ga").join(
         numbered.select(*key, "match_id", "ord"), [*key, "match_id"]
     )
@@ -55,7 +55,7 @@ def last_results(targets: DataFrame, results: DataFrame, mode: str, length: int
     completions = numbered.select(*key, (F.col("completed_at") + F.expr(temporal.TICK)).alias("at"), F.col("ord"))
     counted = running.totals_at(
         completions, asked.select(*key, F.col("decision_at").alias("at")).unionByName(asked.select(*key, F.col("_sure").alias("at"))),
-        key, "at", maxima=["ord"],
+        key, "at", maxima=["ord"], unit=forecast.SLICE,
     )
     span = asked.join(counted.select(*key, F.col("at").alias("decision_at"), F.coalesce("ord", F.lit(0)).alias("_hi")), [*key, "decision_at"]) \
         .join(counted.select(*key, F.col("at").alias("_sure"), F.coalesce("ord", F.lit(0)).alias("_lo")), [*key, "_sure"])

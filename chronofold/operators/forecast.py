@@ -19,6 +19,9 @@ LEAGUE = ("n", "hg", "ag", "c_home", "c_draw", "c_away")
 VENUE = tuple(f"{side}_{m}" for side in ("h", "a") for m in ("n", "gf", "ga", "c_home", "c_draw", "c_away"))
 TEAM = ("n", "gf", "ga", *VENUE, "recent")
 CONGESTION_DAYS = 14
+# Totals are folded per instant first, so a (key, month) slice holds at most one row per minute
+# of kickoff times; finer slices would cost more than they spread.
+SLICE = "month"
 
 
 def knowable_from(available: str = "available_at", completed: str = "completed_at") -> Column:
@@ -58,7 +61,7 @@ def league_totals(results: DataFrame, cursors: DataFrame, mode: str, span: bool
     )
     return running.totals_at(
         signed, cursors, ["competition_id"], "at", sums=LEAGUE,
-        minima=["train_start"] if span else [], maxima=["train_end"] if span else [],
+        minima=["train_start"] if span else [], maxima=["train_end"] if span else [], unit=SLICE,
     )
 
 
@@ -90,7 +93,7 @@ def team_totals(results: DataFrame, cursors: DataFrame, mode: str) -> DataFrame:
     aged = signed.select("competition_id", "team", expiry.alias("at"), (-F.col("sign")).alias("recent"))
     return running.totals_at(
         used.unionByName(aged, allowMissingColumns=True), cursors, ["competition_id", "team"], "at",
-        sums=TEAM, maxima=["last_completed"],
+        sums=TEAM, maxima=["last_completed"], unit=SLICE,
     )
 
 
@@ -114,15 +117,15 @@ def pit_frame(targets: DataFrame, results: DataFrame, mode: str, span: bool = Fa
     """One row per target: league columns plus `home_*` and `away_*` team totals."""
     framed = league_frame(targets, results, mode, span)
     decided = decide(targets)
-    cursors = team_cursors(decided)
-    totals = team_totals(results, cursors, mode)
-    for side in ("home", "away"):
-        mine = totals.select(
-            "competition_id", F.col("team").alias(f"{side}_id"), F.col("at").alias("decision_at"),
-            *[F.col(c).alias(f"{side}_{c}") for c in (*TEAM, "last_completed")],
-        )
-        framed = framed.join(mine, ["competition_id", f"{side}_id", "decision_at"])
-    return framed
+    totals = team_totals(results, team_cursors(decided), mode).withColumnRenamed("at", "decision_at")
+    columns = (*TEAM, "last_completed")
+    sides = F.array(*[F.struct(F.lit(s).alias("side"), F.col(f"{s}_id").alias("team")) for s in ("home", "away")])
+    asked = decided.select("match_id", "competition_id", "decision_at", F.explode(sides).alias("_s")).select(
+        "match_id", "competition_id", "decision_at", "_s.*")
+    # one pass over the totals for both teams; the two rows of a match meet again by its id
+    paired = asked.join(totals, ["competition_id", "team", "decision_at"]).groupBy("match_id").agg(
+        *[F.max(F.when(F.col("side") == s, F.col(c))).alias(f"{s}_{c}") for s in ("home", "away") for c in columns])
+    return framed.join(paired, "match_id")
 
 
 def team_cursors(decided: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import running
+from ..session import JIT_LIMIT
 
 STRICT, RECONSTRUCTED = "STRICT_PIT", "RECONSTRUCTED_PIT"
 
@@ -14,7 +15,8 @@ class Tables:
     """Lazy access to the parquet tables of one directory."""
 
     def __init__(self, spark: SparkSession, directory: str):
-        spark.conf.set("spark.sql.session.timeZone", "UTC")
+        for key, value in {"spark.sql.session.timeZone": "UTC", **JIT_LIMIT}.items():
+            spark.conf.set(key, value)
         self.spark, self.directory = spark, directory.rstrip("/")
 
     def __getattr__(self, name: str) -> DataFrame:
