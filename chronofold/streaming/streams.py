@@ -152,7 +152,7 @@ class Freshness(StatefulProcessor):
         for timer in self.handle.listTimers():
             self.handle.deleteTimer(timer[0] if isinstance(timer, tuple) else timer)
         self.handle.registerTimer(seen + self.limit_ms)
-        yield pd.DataFrame({"source": [], "last_seen_ms": [], "alerted_at_ms": []})
+        return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"source": [key[0]], "last_seen_ms": [int(self.last.get()[0])], "alerted_at_ms": [int(expiredTimerInfo.getExpiryTimeInMs())]})
