@@ -46,13 +46,12 @@ def totals_at(
     ).withColumn("_slice", calendar_slice(at, unit))
     inside = Window.partitionBy(*keys, "_slice").orderBy(at).rowsBetween(Window.unboundedPreceding, 0)
     local = instants.select(
-        *keys, at, "_slice", "_ask", *[fold(c).over(inside).alias(c) for c, fold in folds.items()]
+        *keys, at, "_slice", *[fold(c).over(inside).alias(c) for c, fold in folds.items()], "_ask"
     ).filter(F.col("_ask") == 1)
     before = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
-    # Reading `_ask` here too keeps both uses of `instants` identical, so its shuffle is reused.
     carried = instants.groupBy(*keys, "_slice").agg(
-        *[fold(c).alias(c) for c, fold in folds.items()], F.max("_ask").alias("_any")
-    ).filter("_any >= 0").select(*keys, "_slice", *[fold(c).over(before).alias(f"_c_{c}") for c, fold in folds.items()])
+        *[fold(c).alias(c) for c, fold in folds.items()]
+    ).select(*keys, "_slice", *[fold(c).over(before).alias(f"_c_{c}") for c, fold in folds.items()])
     merged = local.join(carried, [*keys, "_slice"])
     out = [F.coalesce(F.col(c), F.lit(0)) + F.coalesce(F.col(f"_c_{c}"), F.lit(0)) for c in sums]
     out += [F.greatest(F.col(c), F.col(f"_c_{c}")) for c in maxima]

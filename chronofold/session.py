@@ -10,9 +10,12 @@ from pyspark.sql import DataFrame, SparkSession
 # The JIT compiler skips methods beyond 8000 bytes of code; wide running totals generate such
 # methods, and Spark's other code path is then several times faster than an interpreted one.
 JIT_LIMIT = {"spark.sql.codegen.hugeMethodLimit": "8000"}
+# Recording a call site for every column expression costs seconds on wide plans.
+BUILD = {"spark.python.sql.dataFrameDebugging.enabled": "false"}
 
 DEFAULTS = {
     **JIT_LIMIT,
+    **BUILD,
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
