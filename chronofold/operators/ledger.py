@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -25,17 +25,24 @@ def link_hash(previous: Column, sequence: Column, body: Column) -> Column:
     return F.sha2(F.concat_ws("|", previous, sequence.cast("string"), body), 256)
 
 
-def fold_chain(rows: pd.DataFrame) -> pd.DataFrame:
-    """Link one bounded run of a chain, starting from the carried head."""
-    carried = rows["head"].dropna()
-    head = carried.iloc[0] if len(carried) else GENESIS
-    steps = rows[rows.sequence.notna()].sort_values("sequence")
-    before, after = [], []
-    for sequence, body in zip(steps.sequence.astype("int64"), steps.body):
-        before.append(head)
-        head = hashlib.sha256(f"{head}|{sequence}|{body}".encode()).hexdigest()
-        after.append(head)
-    return pd.DataFrame({"chain": rows.chain.iloc[0], "sequence": steps.sequence.astype("int64").to_numpy(), "previous_hash": before, "hash": after})
+def fold_chains(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Link rows sorted by (chain, sequence); only the current chain's head is held.
+
+    A row without sequence carries the head of an earlier slice and sorts first.
+    """
+    current, tip = None, GENESIS
+    for rows in batches:
+        out = []
+        for chain, sequence, body, carried in zip(rows["chain"], rows["sequence"], rows["body"], rows["head"]):
+            if chain != current:
+                current, tip = chain, GENESIS
+            if pd.isna(sequence):
+                tip = carried
+                continue
+            previous, number = tip, int(sequence)
+            tip = hashlib.sha256(f"{previous}|{number}|{body}".encode()).hexdigest()
+            out.append((chain, number, previous, tip))
+        yield pd.DataFrame(out, columns=["chain", "sequence", "previous_hash", "hash"]).astype({"sequence": "int64"})
 
 
 def build_chain(rows: DataFrame, chain: str, order: Sequence[str], body: Sequence[str], slice_by: Column, rows_per_slice: int = 100_000) -> DataFrame:
@@ -55,7 +62,7 @@ def build_chain(rows: DataFrame, chain: str, order: Sequence[str], body: Sequenc
         part = work.filter(F.col("part") == i).drop("part")
         if heads is not None:
             part = part.unionByName(heads.join(part.select("chain").distinct(), "chain", "left_semi"), allowMissingColumns=True)
-        done = part.groupBy("chain").applyInPandas(fold_chain, CHAIN_SCHEMA)
+        done = part.repartition("chain").sortWithinPartitions("chain", F.col("sequence").asc_nulls_first()).mapInPandas(fold_chains, CHAIN_SCHEMA)
         if last > 0:
             done = cut_lineage(done)
             tips = done.groupBy("chain").agg(F.max_by("hash", "sequence").alias("head"))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import ledger, research, running, temporal
+from ..session import cut_lineage
 from . import views
 from .registry import query, r
 from .sqlviews import MATCH, with_
@@ -195,7 +196,7 @@ union all select t.chain, t.sequence, 'HEAD_MISMATCH' from (select chain, max(se
   join (select chain, max_by(hash, sequence) as expected from linked group by 1) e using (chain) where t.h <> e.expected""")
 def ledger_verify(t: Tables) -> DataFrame:
     """A tampered copy of the ledger checked against its own hashes and the retained heads."""
-    clean, k = chained(t), F.col("prediction_id")
+    clean, k = cut_lineage(chained(t)), F.col("prediction_id")
     heads = clean.groupBy("chain").agg(F.max_by("hash", "sequence").alias("expected_head"))
     bad = clean.filter(k % 601 != 0).withColumns({
         "declared_source": F.when(k % 401 == 0, "srcX").otherwise(F.col("declared_source")),
