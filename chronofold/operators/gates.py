@@ -129,7 +129,7 @@ def source_metrics(attempts: DataFrame, by: Sequence[str] = ("source_id",)) -> D
     rates = attempts.groupBy(*by).agg(
         F.count(F.lit(1)).alias("attempts"), F.count(F.when(ok, 1)).alias("successes"), F.avg(ok.cast("double")).alias("validated_rate"),
         F.avg(F.col("transported").cast("double")).alias("transport_rate"),
-        F.count(F.when(F.col("reason").isin("AttributeError", "MEDUSA_REJECTED"), 1)).alias("parser_failures"),
+        F.count(F.when(F.col("reason").isin("AttributeError", "GATE_REJECTED"), 1)).alias("parser_failures"),
         F.avg("elapsed_seconds").alias("mean_latency_seconds"))
     changes = running.with_previous(attempts.filter(ok), by, ["attempted_at", "attempt_id"], ["content_hash"], running.calendar_slice("attempted_at"))
     revised = changes.groupBy(*by).agg(F.count(F.when(F.col("prev_exists") & (F.col("content_hash") != F.col("prev_content_hash")), 1)).alias("content_revisions"))

@@ -329,7 +329,7 @@ def id_collisions(t: Tables) -> DataFrame:
 
 ATTEMPT = """
 attempt as (select event_id as attempt_id, 'u' || cast(user_id % 20 as varchar) as source_id, ts as attempted_at, case when event_id % 4 = 0 then 'FAILED' else 'COMPLETE' end as status,
-  event_id % 9 <> 0 as transported, case when event_id % 12 = 0 then 'AttributeError' when event_id % 20 = 0 then 'MEDUSA_REJECTED' end as reason, value / 100e0 as elapsed_seconds,
+  event_id % 9 <> 0 as transported, case when event_id % 12 = 0 then 'AttributeError' when event_id % 20 = 0 then 'GATE_REJECTED' end as reason, value / 100e0 as elapsed_seconds,
   md5(cast(event_id % 3 as varchar)) as content_hash from events)"""
 
 
@@ -338,7 +338,7 @@ def attempts(t: Tables) -> DataFrame:
     return t.events.select(
         e.alias("attempt_id"), F.concat(F.lit("u"), (F.col("user_id") % 20).cast("string")).alias("source_id"), F.col("ts").alias("attempted_at"),
         F.when(e % 4 == 0, "FAILED").otherwise("COMPLETE").alias("status"), (e % 9 != 0).alias("transported"),
-        F.when(e % 12 == 0, "AttributeError").when(e % 20 == 0, "MEDUSA_REJECTED").alias("reason"), (F.col("value") / 100).alias("elapsed_seconds"), F.md5((e % 3).cast("string")).alias("content_hash"))
+        F.when(e % 12 == 0, "AttributeError").when(e % 20 == 0, "GATE_REJECTED").alias("reason"), (F.col("value") / 100).alias("elapsed_seconds"), F.md5((e % 3).cast("string")).alias("content_hash"))
 
 
 @query("source_metrics", with_(ATTEMPT) + """, rev as (select source_id, count(case when content_hash <> p then 1 end) as content_revisions from (
