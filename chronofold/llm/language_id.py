@@ -28,10 +28,8 @@ SLICE_CHARS = 400  # characters that each of them gives at most
 BLOCK_CHARS = 2048
 MARGIN = 0.01  # smallest advantage over the second language, as a part of its size
 LETTER = regex.compile(r"\p{L}")
-LEVEL = zstandard.ZstdCompressionParameters(
-    window_log=18, hash_log=16, chain_log=16, search_log=3, min_match=3, strategy=zstandard.STRATEGY_LAZY2,
-    write_content_size=False, write_checksum=False, write_dict_id=False,
-)
+LEVEL = {"window_log": 18, "hash_log": 16, "chain_log": 16, "search_log": 3, "min_match": 3, "strategy": zstandard.STRATEGY_LAZY2}
+FRAME = {"write_content_size": False, "write_checksum": False, "write_dict_id": False}
 
 
 def learn(labelled: DataFrame, text: str = "text", lang: str = "lang") -> dict[str, bytes]:
@@ -60,11 +58,11 @@ class Judge:
 
     def __init__(self, dictionaries: dict[str, bytes]):
         self.names = list(dictionaries)
-        self.compressors = []
+        self.compressors, level = [], zstandard.ZstdCompressionParameters(**LEVEL, **FRAME)
         for raw in dictionaries.values():
             content = zstandard.ZstdCompressionDict(raw, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-            content.precompute_compress(compression_params=LEVEL)
-            self.compressors.append(zstandard.ZstdCompressor(dict_data=content, compression_params=LEVEL))
+            content.precompute_compress(compression_params=level)
+            self.compressors.append(zstandard.ZstdCompressor(dict_data=content, compression_params=level))
 
     def sizes(self, text: str) -> list[int]:
         text = text.lower()

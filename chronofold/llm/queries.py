@@ -50,7 +50,7 @@ with texts as (
   select row_number() over () as row, doc_id, coalesce(text, '') as text from documents
 ), split as (
   select row, doc_id, text, regexp_extract_all(text, '{_WORD}+') as words,
-    list_filter(string_split(text, chr(10)), x -> regexp_matches(x, '{_WORD}')) as lines
+    [x for x in string_split(text, chr(10)) if regexp_matches(x, '{_WORD}')] as lines
   from texts
 ), windows as (
   select row, unnest(range(1, len(words) - 1)) as i, unnest([words[j:j + 2] for j in range(1, len(words) - 1)]) as w from split
