@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, language_id, rule_ledger
+from . import bpe, decontamination, language_id, near_dedup, rule_ledger, toxicity
 from .shared import documents, fold
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -27,6 +27,22 @@ def op3_bpe(spark: SparkSession, directory: str) -> DataFrame:
     return bpe.encode(documents(spark, directory), then=digests, schema="ids_sha256 string, decoded_sha256 string")
 
 
+def op6_near_dedup(spark: SparkSession, directory: str) -> DataFrame:
+    return near_dedup.groups(documents(spark, directory))
+
+
+def op7_toxicity(spark: SparkSession, directory: str) -> DataFrame:
+    docs, labels = documents(spark, directory), spark.read.parquet(f"{directory}/labels.parquet")
+    model = toxicity.learn(docs, labels.select("doc_id", "toxic").filter(fold() != 0))
+    return toxicity.score(docs, model).select("doc_id", (fold() == 0).alias("held_out"), "score", "predicted")
+
+
+def op10_decontamination(spark: SparkSession, directory: str) -> DataFrame:
+    benchmark = spark.read.parquet(f"{directory}/benchmark.parquet").select("item_id", "text")
+    found = decontamination.matches(documents(spark, directory), benchmark)
+    return found.withColumn("contaminated", F.lit(True))
+
+
 def op9_language(spark: SparkSession, directory: str) -> DataFrame:
     docs = documents(spark, directory, "doc_id", "text", "lang")
     learned = language_id.learn(docs.filter(fold() != 0))
@@ -37,7 +53,10 @@ def op9_language(spark: SparkSession, directory: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op2_rule_ledger": op2_rule_ledger,
     "op3_bpe": op3_bpe,
+    "op6_near_dedup": op6_near_dedup,
+    "op7_toxicity": op7_toxicity,
     "op9_language": op9_language,
+    "op10_decontamination": op10_decontamination,
 }
 
 _RULES = ",\n    ".join(f"({rule}) as r{place}" for place, rule in enumerate(rule_ledger.RULES.values()))
