@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontamination, language_id, near_dedup, rule_ledger, toxicity
+from . import bpe, decontamination, language_id, near_dedup, rule_ledger, substring_dedup, toxicity
 from .shared import documents, fold
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -27,6 +27,11 @@ def op3_bpe(spark: SparkSession, directory: str) -> DataFrame:
     return bpe.encode(documents(spark, directory), then=digests, schema="ids_sha256 string, decoded_sha256 string")
 
 
+def op4_substring_dedup(spark: SparkSession, directory: str) -> DataFrame:
+    found = substring_dedup.repeats(documents(spark, directory))
+    return found.select("row.doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op6_near_dedup(spark: SparkSession, directory: str) -> DataFrame:
     return near_dedup.groups(documents(spark, directory))
 
@@ -53,6 +58,7 @@ def op9_language(spark: SparkSession, directory: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op2_rule_ledger": op2_rule_ledger,
     "op3_bpe": op3_bpe,
+    "op4_substring_dedup": op4_substring_dedup,
     "op6_near_dedup": op6_near_dedup,
     "op7_toxicity": op7_toxicity,
     "op9_language": op9_language,
