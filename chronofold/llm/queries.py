@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontamination, language_id, near_dedup, rule_ledger, substring_dedup, toxicity
+from . import bpe, decontamination, language_id, near_dedup, rule_ledger, substring_dedup, toxicity, warc
 from .shared import documents, fold
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -42,6 +42,11 @@ def op7_toxicity(spark: SparkSession, directory: str) -> DataFrame:
     return toxicity.score(docs, model).select("doc_id", (fold() == 0).alias("held_out"), "score", "predicted")
 
 
+def op8_warc(spark: SparkSession, directory: str) -> DataFrame:
+    records = warc.round_trip(spark.read.parquet(f"{directory}/pages.parquet").select("page_id", "url", "html"))
+    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op10_decontamination(spark: SparkSession, directory: str) -> DataFrame:
     benchmark = spark.read.parquet(f"{directory}/benchmark.parquet").select("item_id", "text")
     found = decontamination.matches(documents(spark, directory), benchmark)
@@ -61,6 +66,7 @@ QUERIES: dict[str, Query] = {
     "op4_substring_dedup": op4_substring_dedup,
     "op6_near_dedup": op6_near_dedup,
     "op7_toxicity": op7_toxicity,
+    "op8_warc": op8_warc,
     "op9_language": op9_language,
     "op10_decontamination": op10_decontamination,
 }
@@ -101,5 +107,18 @@ with texts as (
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, r0 or r1 as base_failed, failed_bits = 0 as kept,
   n_lines, n_capitals, n_exclamations, failed_bits, 'v1' as policy
 from bits
+""",
+    "op8_warc": """
+with payloads as (
+  select page_id, encode(coalesce(html, '')) as payload from pages
+), digests as (
+  select page_id, cast(octet_length(payload) as bigint) as payload_bytes, sha1(payload) as payload_digest from payloads
+), groups as (
+  select *, max(page_id) over (partition by payload_digest, payload_bytes) as response from digests
+)
+select page_id, payload_bytes, payload_digest,
+  case when payload_bytes >= 1000 and page_id <> response then 'revisit' else 'response' end as record_type,
+  case when payload_bytes >= 1000 and page_id <> response then response end as refers_to
+from groups
 """,
 }
