@@ -8,12 +8,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontamination, language_id, near_dedup, rule_ledger, substring_dedup, toxicity, warc
+from . import bpe, decontamination, language_id, near_dedup, ngram_quality, rule_ledger, substring_dedup, toxicity, warc
 from .shared import documents, fold
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_ngram_quality(spark: SparkSession, directory: str) -> DataFrame:
+    labels = spark.read.parquet(f"{directory}/labels.parquet").filter("quality = 1").select("doc_id")
+    return ngram_quality.judge(documents(spark, directory, "doc_id", "text", "lang"), labels)
+
+
 def op2_rule_ledger(spark: SparkSession, directory: str) -> DataFrame:
     rows = rule_ledger.apply_policy(rule_ledger.ledger(documents(spark, directory)), rule_ledger.POLICIES["v1"])
     first = ("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -61,6 +66,7 @@ def op9_language(spark: SparkSession, directory: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_ngram_quality": op1_ngram_quality,
     "op2_rule_ledger": op2_rule_ledger,
     "op3_bpe": op3_bpe,
     "op4_substring_dedup": op4_substring_dedup,
