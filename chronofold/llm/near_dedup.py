@@ -29,10 +29,10 @@ from ..session import cut_lineage
 from . import bytekit
 from .shared import store
 
-SAMPLES = 128
+SAMPLES = 256
 BANDS, ROWS = 16, 4  # at a similarity of 0.85 a pair shares no band with probability 8e-6
-SKETCH_WORDS = 8  # 512 bits
-SLACK = 4.5  # standard deviations by which a sketch may understate the similarity
+SKETCH_WORDS = 16  # 1024 bits
+SLACK = 4  # standard deviations by which a sketch may understate the similarity
 BLOCK = 2048  # members of a split bucket that one block compares
 
 U64 = np.uint64
@@ -131,11 +131,16 @@ def differing(a: str, b: str) -> Column:
 
 
 def most_differing(percent: int) -> int:
-    """Set bits that two sketches at the threshold stay under, with SLACK standard deviations."""
-    miss = 1 - percent / 100
-    samples = SAMPLES * miss + SLACK * (SAMPLES * miss * (1 - miss)) ** 0.5
-    bits = SKETCH_WORDS * 64
-    return int(bits / 2 * (1 - (1 - 2 / bits) ** (2 * samples)) + SLACK * (samples**0.5)) + 1
+    """Set bits that two sketches at the threshold stay under, with SLACK standard deviations.
+
+    m samples differ, so 2m elements fall into the bits; those that meet cancel, which takes two set
+    bits each time.
+    """
+    bits, miss = SKETCH_WORDS * 64, 1 - percent / 100
+    elements = 2 * SAMPLES * miss
+    mean = bits / 2 * (1 - (1 - 2 / bits) ** elements)
+    by_samples, by_meeting = 4 * SAMPLES * miss * (1 - miss), 4 * elements**2 / (2 * bits)
+    return int(mean + SLACK * (by_samples + by_meeting) ** 0.5) + 1
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -160,11 +165,14 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def confirm(pairs: DataFrame, nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) that odd sketches let through and whose full sets are similar enough."""
+    """The pairs (a, b) that odd sketches let through and whose full sets are similar enough.
+
+    Pairs grow with the corpus, so they are never broadcast.
+    """
     left = nodes.select(F.col("key").alias("a"), F.col("sketch").alias("sa"), F.col("n_shingles").alias("na"))
     right = nodes.select(F.col("key").alias("b"), F.col("sketch").alias("sb"), F.col("n_shingles").alias("nb"))
     likely = (
-        pairs.join(left, "a").join(right, "b")
+        pairs.hint("merge").join(left, "a").join(right, "b")
         .filter(F.expr(f"100 * least(na, nb) >= {percent} * greatest(na, nb)") & (differing("sa", "sb") <= most_differing(percent)))
         .select("a", "b")
     )
@@ -187,7 +195,7 @@ def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: in
     shared = buckets.groupBy("bucket").agg(F.min("key").alias("low"), F.max("key").alias("high"), F.count("*").alias("n")).filter("n > 1")
     members = store(buckets.join(shared, "bucket"), "members")
     asked = members.select("key").distinct()
-    wanted = docs.select(F.col(key).cast("bigint").alias("key"), F.col(text).alias("text")).join(asked, "key", "left_semi")
+    wanted = docs.select(F.col(key).cast("bigint").alias("key"), F.col(text).alias("text")).join(asked.hint("merge"), "key", "left_semi")
     sets = store(shingle_sets(wanted), "sets")
 
     stars = members.filter("key <> low").select(F.col("key").alias("a"), F.col("low").alias("b")).distinct()
@@ -206,11 +214,12 @@ def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: in
     links = store(links.union(confirm(again, nodes, sets, percent)), "links")
     roots = components(links)
 
-    rest = split(roots).join(nodes.select("key", "sketch", "n_shingles"), "key")
+    rest = split(roots).join(nodes.select("key", "sketch", "n_shingles", "bands"), "key")
     blocks = F.greatest(F.lit(1), F.ceil(F.col("n") / BLOCK).cast("int"))
-    one = rest.select("bucket", F.col("key").alias("a"), F.col("root").alias("ra"), F.col("sketch").alias("sa"), F.col("n_shingles").alias("na"), F.pmod(F.xxhash64("key"), blocks).alias("block"))
-    other = rest.select("bucket", F.col("key").alias("b"), F.col("root").alias("rb"), F.col("sketch").alias("sb"), F.col("n_shingles").alias("nb"), F.explode(F.sequence(F.lit(0).cast("bigint"), (blocks - 1).cast("bigint"))).alias("block"))
+    one = rest.select("bucket", F.col("key").alias("a"), F.col("root").alias("ra"), F.col("sketch").alias("sa"), F.col("n_shingles").alias("na"), F.col("bands").alias("ba"), F.pmod(F.xxhash64("key"), blocks).alias("block"))
+    other = rest.select("bucket", F.col("key").alias("b"), F.col("root").alias("rb"), F.col("sketch").alias("sb"), F.col("n_shingles").alias("nb"), F.col("bands").alias("bb"), F.explode(F.sequence(F.lit(0).cast("bigint"), (blocks - 1).cast("bigint"))).alias("block"))
     likely = (F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")) & F.expr(f"100 * least(na, nb) >= {percent} * greatest(na, nb)") & (differing("sa", "sb") <= most_differing(percent))
+    likely &= F.col("x.bucket") == F.get(F.array_intersect("ba", "bb"), F.lit(0))  # once for all buckets that a pair shares
     across = one.alias("x").join(other.alias("y"), (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.block") == F.col("y.block")) & likely).select("a", "b").distinct()
     more = confirm(across, nodes, sets, percent)
     roots = components(store(links.union(more), "links"))
