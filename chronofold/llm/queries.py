@@ -8,8 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontamination, language_id, near_dedup, ngram_quality, rule_ledger, substring_dedup, toxicity, warc
-from .shared import documents, fold
+from . import bpe, decontamination, language_id, near_dedup, ngram_quality, rule_ledger, substring_dedup, toxicity, transcripts, warc
+from .shared import documents, fold, store
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -37,6 +37,21 @@ def op4_substring_dedup(spark: SparkSession, directory: str) -> DataFrame:
     return found.select("row.doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op5_chat(spark: SparkSession, directory: str) -> DataFrame:
+    turns = spark.read.parquet(f"{directory}/conversations.parquet").select("conv_id", "turn", "role", "text")
+    known = store(transcripts.lines_of(transcripts.mark(turns)), "transcript")
+    model = transcripts.learn(known.filter(fold("conv_id") != 0))
+    decoded = store(transcripts.decode(known.select("conv_id", "at", "line"), model), "decoded")
+    right = decoded.select("conv_id", "at", F.col("role").alias("found")).join(known.select("conv_id", "at", "role"), ["conv_id", "at"])
+    lines = right.groupBy("conv_id").agg(F.count("*").alias("n_lines"), F.count(F.when(F.col("found") == F.col("role"), 1)).alias("n_right"))
+    # A conversation's digest is a sum over its messages, so that no conversation is gathered.
+    digest = F.xxhash64("message", "rendered").cast("decimal(38,0)")
+    chats = transcripts.messages(decoded).groupBy("conv_id").agg(
+        F.count("*").alias("n_messages"), F.sum(F.length("rendered")).alias("n_chars"), F.sum(digest).cast("string").alias("rendered_digest")
+    )
+    return lines.join(chats, "conv_id").select("conv_id", (fold("conv_id") == 0).alias("held_out"), "n_lines", "n_right", "n_messages", "n_chars", "rendered_digest")
+
+
 def op6_near_dedup(spark: SparkSession, directory: str) -> DataFrame:
     return near_dedup.groups(documents(spark, directory))
 
@@ -70,6 +85,7 @@ QUERIES: dict[str, Query] = {
     "op2_rule_ledger": op2_rule_ledger,
     "op3_bpe": op3_bpe,
     "op4_substring_dedup": op4_substring_dedup,
+    "op5_chat": op5_chat,
     "op6_near_dedup": op6_near_dedup,
     "op7_toxicity": op7_toxicity,
     "op8_warc": op8_warc,

@@ -1,5 +1,85 @@
-"""The corpus pipeline: toxicity, near duplicates, repeated passages, benchmark passages, tokens."""
+"""The corpus pipeline over `documents`: each stage is one corpus operator and takes effect on the rows.
+
+A stage takes (spark, docs, sf_dir) and gives the columns of documents back; the last one gives
+token rows. Between stages the rows are written and read again, so a lost executor costs one stage at
+most. Cases follow the operators: null and empty texts pass every stage (they are neither toxic nor
+near copies nor contaminated), rows that repeat are treated each, an empty table stays empty, and
+columns beyond those of documents are dropped at the first stage.
+"""
 
 from __future__ import annotations
 
-from chronofold.llm.queries import ORACLES, QUERIES  # noqa: F401
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from chronofold.llm import bpe, decontamination, near_dedup, substring_dedup, toxicity
+from chronofold.llm.queries import ORACLES as OPERATOR_SQL
+from chronofold.llm.queries import QUERIES as OPERATORS
+from chronofold.llm.shared import store
+
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def _without(docs: DataFrame, keys: DataFrame) -> DataFrame:
+    """Rows whose doc_id is not among `keys`; both grow with the corpus, so neither is broadcast."""
+    return docs.join(keys.hint("merge"), "doc_id", "left_anti").select(*COLUMNS)
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the toxicity classifier rejects go."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic")
+    model = toxicity.learn(docs.select("doc_id", "text"), labels)
+    return toxicity.keep(docs.select(*COLUMNS), model)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each near-duplicate group stays."""
+    groups = near_dedup.groups(docs.select("doc_id", "text"))
+    return _without(docs, store(groups.filter("not kept").select("doc_id"), "copies"))
+
+
+def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts lose passages that occur elsewhere too; n_chars follows."""
+    left = substring_dedup.repeats(
+        docs.withColumn("empty", F.col("text").isNull()), carry=("doc_id", "lang", "source", "n_chars", "empty"), as_text=True
+    )
+    text = F.when(~F.col("row.empty"), F.col("kept"))
+    changed = F.when(F.col("n_removed") > 0, F.length("kept").cast("bigint")).otherwise(F.col("row.n_chars"))
+    return left.select("row.doc_id", text.alias("text"), "row.lang", "row.source", changed.alias("n_chars"))
+
+
+def drop_benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with a passage of the benchmark go."""
+    benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", "text")
+    found = decontamination.matches(docs.select("doc_id", "text"), benchmark)
+    return _without(docs, store(found.select("doc_id").distinct(), "leaks"))
+
+
+def to_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of every text: (doc_id, n_tokens, token_bytes, n_decoded), ids as little-endian 32-bit integers."""
+    return bpe.encode(
+        docs.select("doc_id", "text"), then=lambda codec, ids: (ids, len(codec.decode(ids))), schema="token_bytes binary, n_decoded bigint"
+    )
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("near_dedup", drop_near_copies),
+    ("substring_dedup", drop_repeated_passages),
+    ("decontamination", drop_benchmark_passages),
+    ("tokens", to_tokens),
+]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the whole of documents."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES:
+        docs = store(stage(spark, docs, sf_dir), f"stage-{name}")
+    return docs
+
+
+ORACLE_SQL = None
+
+QUERIES = OPERATORS | {"pipeline": run}
+ORACLES = dict(OPERATOR_SQL)
