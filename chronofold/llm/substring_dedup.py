@@ -231,7 +231,8 @@ def repeats(docs: DataFrame, text: str = "text", carry: tuple[str, ...] = ("doc_
     texts = whole.filter(F.octet_length("text") >= LENGTH).select(*digest, "text")
 
     every = store(anchors(texts), "anchors")
-    common = every.groupBy("print").agg(F.count("*").alias("n")).filter("n > 1").select("print")
+    # Written first: the join below then stands on two exchanges, and Spark can split a frequent print.
+    common = store(every.groupBy("print").agg(F.count("*").alias("n")).filter("n > 1").select("print"), "prints")
     spots = store(every.join(common, "print", "left_semi").select(*ID, "place").distinct().groupBy(*ID).agg(F.collect_list("place").alias("places")), "spots")
 
     located = texts.join(spots, ID).select(*ID, "text", "places")
