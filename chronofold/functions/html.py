@@ -1,71 +1,66 @@
-"""Visible text and links of raw pages, in Arrow batches."""
+"""Visible text and links of raw pages, by expressions over whole pages of any size."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from html.parser import HTMLParser
+import html as entities
+import re
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-PAGE_SCHEMA = "page_id bigint, text string, links array<string>"
-MAX_CHARS = 2_000_000
+# What is not shown, what parts text, and where a link stands.
+HIDDEN = r"(?is)<!--.*?-->|<script\b.*?</script\s*>|<style\b.*?</style\s*>"
+TAG = r"<[^>]*>"
+LINK = r"(?is)<a\s(?:[^>]*?\s)?href\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))"
+# The character references that are read; the ampersand's comes last.
+REFERENCES = (("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&lt;", "<"), ("&gt;", ">"), ("&nbsp;", " "), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&"))
+BORDER = "\x01"
 
 
-class _Page(HTMLParser):
-    def __init__(self) -> None:
-        super().__init__(convert_charrefs=True)
-        self.words: list[str] = []
-        self.links: list[str] = []
-        self.muted = 0
+def resolved(text: Column) -> Column:
+    for name, letter in REFERENCES:
+        text = F.replace(text, F.lit(name), F.lit(letter))
+    return text
 
-    def handle_starttag(self, tag, attrs):
-        self.muted += tag in ("script", "style")
-        target = dict(attrs).get("href") if tag == "a" else None
-        if target:
-            self.links.append(target)
 
-    def handle_endtag(self, tag):
-        if tag in ("script", "style") and self.muted:
-            self.muted -= 1
+def visible(page: Column) -> Column:
+    """Pieces of text between tags, trimmed and joined by blanks."""
+    pieces = F.split(F.regexp_replace(F.regexp_replace(page, HIDDEN, BORDER), TAG, BORDER), BORDER)
+    trimmed = F.transform(pieces, lambda p: F.regexp_replace(resolved(p), r"^\s+|\s+$", ""))
+    return F.array_join(F.filter(trimmed, lambda p: p != ""), " ")
 
-    def handle_data(self, data):
-        if not self.muted and (piece := data.strip()):
-            self.words.append(piece)
 
-
-def read_page(html: str) -> tuple[str, list[str]]:
-    page = _Page()
-    page.feed(html)
-    return " ".join(page.words), page.links
-
-
-def _batches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for frame in frames:
-        read = [read_page(h) for h in frame.html]
-        yield pd.DataFrame({"page_id": frame.page_id, "text": [t for t, _ in read], "links": [l for _, l in read]})
+def targets(page: Column) -> Column:
+    """Link targets in the order of the page; empty ones are none."""
+    shown = F.regexp_replace(page, HIDDEN, BORDER)
+    groups = [F.regexp_extract_all(shown, F.lit(LINK), F.lit(i)) for i in (1, 2, 3)]
+    both = lambda a, b: F.zip_with(a, b, lambda x, y: F.concat(x, y))
+    each = both(both(groups[0], groups[1]), groups[2])
+    return F.transform(F.filter(each, lambda x: x != ""), resolved)
 
 
 def extract(pages: DataFrame) -> DataFrame:
-    """One row per page with its whole visible text and its links; oversized pages are left out."""
-    usable = pages.filter(F.octet_length("html") <= MAX_CHARS).select("page_id", "html")
-    return usable.mapInPandas(_batches, PAGE_SCHEMA)
+    """One row per page with its whole visible text and its links; a null page has neither."""
+    return pages.select("page_id", visible(F.col("html")).alias("text"), targets(F.col("html")).alias("links"))
 
 
 def register_udfs(spark) -> None:
     """SQL surface: `visible_text(html)` and the table function `extract_links(html)`."""
     from pyspark.sql.types import StringType
 
+    hidden, tag, link = (re.compile(p) for p in (HIDDEN, TAG, LINK))
+
     @F.pandas_udf(StringType())
     def visible_text(html: pd.Series) -> pd.Series:
-        return html.map(lambda h: None if h is None else read_page(h)[0])
+        pieces = html.str.replace(hidden, BORDER, regex=True).str.replace(tag, BORDER, regex=True).str.split(BORDER)
+        return pieces.map(lambda own: " ".join(filter(None, (entities.unescape(p).strip() for p in own))), na_action="ignore")
 
     @F.udtf(returnType="position int, link string")
     class extract_links:  # noqa: N801 - SQL name
         def eval(self, html: str):
-            for i, link in enumerate(read_page(html)[1] if html else []):
-                yield i, link
+            found = ("".join(groups) for groups in link.findall(hidden.sub(BORDER, html or "")))
+            yield from enumerate(entities.unescape(target) for target in found if target)
 
     spark.udf.register("visible_text", visible_text)
     spark.udtf.register("extract_links", extract_links)

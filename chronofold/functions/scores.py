@@ -67,28 +67,26 @@ def proportional(odds: list[Column]) -> list[Column]:
     return [x / total for x in q]
 
 
-def power_exponent(odds: list[Column], doublings: int = 20, halvings: int = 120) -> Column:
-    """k with sum(implied^k) = 1: widen the upper end while too small, then bisect."""
+def power_exponent(odds: list[Column], halvings: int = 120) -> Column:
+    """k with sum(implied^k) = 1, by bisection.
+
+    No bound is guessed: with q the largest implied price, three times q^k is at most 1 from
+    k = ln 3 / -ln q on, and at k = 0 the sum is 3.
+    """
     q = [implied(o) for o in odds]
 
     def mass(k: Column) -> Column:
         return F.pow(q[0], k) + F.pow(q[1], k) + F.pow(q[2], k)
 
-    start = F.struct(F.lit(0.0).alias("lo"), F.lit(1.0).alias("hi"))
+    top = F.when(q[0].isNotNull() & q[1].isNotNull() & q[2].isNotNull(), F.log(F.lit(3.0)) / -F.log(F.greatest(*q)))
+    start = F.struct(F.lit(0.0).alias("lo"), top.alias("hi"))
 
-    def step(s: Column, i: Column) -> Column:
+    def step(s: Column, _: Column) -> Column:
         mid = (s["lo"] + s["hi"]) / 2
-        widen = i <= doublings
-        wide = F.when(mass(s["hi"]) > 1, s["hi"] * 2).otherwise(s["hi"])
         above = mass(mid) > 1
-        return F.struct(
-            F.when(widen, s["lo"]).when(above, mid).otherwise(s["lo"]).alias("lo"),
-            F.when(widen, wide).when(above, s["hi"]).otherwise(mid).alias("hi"),
-        )
+        return F.struct(F.when(above, mid).otherwise(s["lo"]).alias("lo"), F.when(above, s["hi"]).otherwise(mid).alias("hi"))
 
-    return F.aggregate(
-        F.sequence(F.lit(1), F.lit(doublings + halvings)), start, step, lambda s: (s["lo"] + s["hi"]) / 2
-    )
+    return F.aggregate(F.sequence(F.lit(1), F.lit(halvings)), start, step, lambda s: (s["lo"] + s["hi"]) / 2)
 
 
 def fair_price(p: Column) -> Column:
@@ -108,16 +106,9 @@ def wilson(p: Column, n: Column, z: float = 1.96) -> tuple[Column, Column]:
 
 
 def tau(i: int, j: int, rate_home: Column, rate_away: Column, rho: Column) -> Column:
-    """Low-score dependence factor for i:j; 1 outside the four smallest scores."""
-    if (i, j) == (0, 0):
-        return 1 - rate_home * rate_away * rho
-    if (i, j) == (0, 1):
-        return 1 + rate_home * rho
-    if (i, j) == (1, 0):
-        return 1 + rate_away * rho
-    if (i, j) == (1, 1):
-        return 1 - rho
-    return F.lit(1.0)
+    """Low-score dependence factor for i:j, one of a table; 1 outside the four smallest scores."""
+    factors = {(0, 0): -rate_home * rate_away, (0, 1): rate_home, (1, 0): rate_away, (1, 1): F.lit(-1.0)}
+    return 1 + factors[i, j] * rho if (i, j) in factors else F.lit(1.0)
 
 
 def goal_grid(rate_home: Column, rate_away: Column, rho: Column | None = None) -> Column:

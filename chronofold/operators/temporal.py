@@ -120,13 +120,14 @@ def as_of_many(cursors: DataFrame, revisions: DataFrame, mode: str, keys: Sequen
 def validity_intervals(revisions: DataFrame, key: str, mode: str, carry: Sequence[str] = ()) -> DataFrame:
     """Knowledge interval [valid_from, valid_to) of every version among the admitted ones.
 
-    Chains are short (corrections of one fact), so the version window is keyed by the fact.
+    A version ends when the first of all later ones is known, which need not be the next one. Chains
+    are short (corrections of one fact), so the version window is keyed by the fact.
     """
     from pyspark.sql import Window
 
-    order = Window.partitionBy(key).orderBy("version")
+    later = Window.partitionBy(key).orderBy("version").rowsBetween(1, Window.unboundedFollowing)
     known = revisions.filter(F.col("available_at").isNotNull() & mode_allows(mode))
-    return known.withColumn("valid_to", F.lead("available_at").over(order)).withColumn("valid_from", F.col("available_at"))
+    return known.withColumn("valid_to", F.min("available_at").over(later)).withColumn("valid_from", F.col("available_at"))
 
 
 def chain_violations(chain: DataFrame, key: str = "entity_key", rows_per_slice: int = 4096) -> DataFrame:

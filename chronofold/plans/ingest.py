@@ -32,7 +32,7 @@ def match_docs(t: Tables) -> DataFrame:
 
 
 DOCS = MATCH + """,
-docs as (select competition_id, cast(kickoff_at as date) as day, min(match_id) as doc_id, bool_or(match_id % 501 = 0 or (match_id % 10 > 1 and (home_goals > 50 or away_goals > 50))) as bad from v_match group by 1, 2)"""
+docs as (select competition_id, cast(kickoff_at as date) as day, min(match_id) as doc_id, bool_or(match_id % 501 = 0) as bad from v_match group by 1, 2)"""
 
 
 @query("scan_match_docs", with_(DOCS) + """
@@ -55,14 +55,22 @@ select cast(match_id as varchar) as doc_key, 'feed:match:' || cast(match_id as v
   'feed:team:' || cast(away_id as varchar) as away_entity_id, home_goals as home_score, away_goals as away_score, cast(kickoff_at as date) as match_date,
   case when match_id % 4 = 0 then 'unknown' else 'available' end as match_status from v_match where match_id % 97 <> 0 and match_id % 89 <> 0""")
 def scan_provider_matches(t: Tables) -> DataFrame:
+    return documents.provider_matches(provider_docs(t), ("doc_key",), "feed")[0]
+
+
+@query("provider_rejections", with_(MATCH) + "select cast(match_id as varchar) as doc_key, 0 as position, case when match_id % 97 = 0 then 'KEY_MISSING' else 'INVALID_VALUE' end as reason from v_match where match_id % 97 = 0 or match_id % 89 = 0")
+def provider_rejections(t: Tables) -> DataFrame:
+    return documents.provider_matches(provider_docs(t), ("doc_key",), "feed")[1]
+
+
+def provider_docs(t: Tables) -> DataFrame:
     i = F.col("match_id")
     obj = F.struct(
         F.when(i % 97 != 0, i).alias("match_id"), F.struct(F.col("home_id").alias("home_team_id"), F.lit("h").alias("home_team_name")).alias("home_team"),
         F.struct(F.col("away_id").alias("away_team_id"), F.lit("a").alias("away_team_name")).alias("away_team"),
         F.when(i % 89 == 0, -1).otherwise(F.col("home_goals")).alias("home_score"), F.col("away_goals").alias("away_score"), F.date_format("kickoff_at", "yyyy-MM-dd").alias("match_date"),
         F.lit("20:00").alias("kick_off"), F.when(i % 4 != 0, "available").alias("match_status"))
-    docs = views.matches(t).select(i.cast("string").alias("doc_key"), F.to_json(F.array(obj)).alias("body"))
-    return documents.provider_matches(docs, ("doc_key",), "feed")
+    return views.matches(t).select(i.cast("string").alias("doc_key"), F.to_json(F.array(obj)).alias("body"))
 
 
 CAPTURED = "2024-06-01 06:00:00"
@@ -202,12 +210,14 @@ def page_links(t: Tables) -> DataFrame:
 @query("page_hosts", f"""with {LINKS}, per as (select page_id, count(*) as n from links group by 1)
 select regexp_extract(url, '^https?://([^/?#]*)', 1) as host, count(*) as pages, coalesce(sum(n), 0)::bigint as links from pages left join per using (page_id) group by 1""")
 def page_hosts(t: Tables) -> DataFrame:
-    read = html.extract(t.pages).select("page_id", F.size("links").alias("n"))
-    hosts = t.pages.select("page_id", F.parse_url("url", F.lit("HOST")).alias("host"))
-    return hosts.join(read, "page_id").groupBy("host").agg(F.count(F.lit(1)).alias("pages"), F.sum("n").alias("links"))
+    read = t.pages.select(F.parse_url("url", F.lit("HOST")).alias("host"), F.coalesce(F.size(html.targets(F.col("html"))), F.lit(0)).alias("n"))
+    return read.groupBy("host").agg(F.count(F.lit(1)).alias("pages"), F.sum("n").alias("links"))
 
 
-@query("page_text")
+@query("page_text", """with shown as (select page_id, regexp_replace(regexp_replace(html, '(?is)<!--.*?-->|<script\\b.*?</script\\s*>|<style\\b.*?</style\\s*>', chr(1), 'g'), '<[^>]*>', chr(1), 'g') as s from pages),
+parts as (select page_id, [trim(replace(replace(replace(replace(replace(replace(x, '&quot;', '"'), '&copy;', '©'), '&middot;', '·'), '&lt;', '<'), '&gt;', '>'), '&amp;', '&'), chr(9) || chr(10) || chr(13) || ' ') for x in string_split(s, chr(1))] as p from shown),
+text as (select page_id, array_to_string([x for x in p if x <> ''], ' ') as t from parts)
+select page_id, cast(length(t) as bigint) as chars, md5(t) as digest from text""")
 def page_text(t: Tables) -> DataFrame:
     return html.extract(t.pages).select("page_id", F.length("text").cast("bigint").alias("chars"), F.md5("text").alias("digest"))
 

@@ -279,13 +279,12 @@ def secret_scan(t: Tables) -> DataFrame:
 
 
 def secret_hits(documents: DataFrame) -> DataFrame:
-    """(document, line, rule) over whole texts; only texts with some hit are split into lines."""
-    whole = F.lit(False)
-    for pattern in text.SECRET_RULES.values():
-        whole = whole | F.col("text").rlike(pattern)
-    lines = documents.filter(whole).select("doc_id", "source", "lang", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
-    rules = F.array_compact(F.array(*[F.when(text.secret_hit(k, F.col("line")), F.lit(k)) for k in text.SECRET_RULES]))
-    return lines.select("doc_id", "source", "lang", (F.col("pos") + 1).cast("bigint").alias("line_no"), F.explode(rules).alias("rule"))
+    """(document, line, rule) over whole texts, so a finding may reach over a line break."""
+    def named(rule: str):
+        return F.transform(text.secret_lines(rule, F.col("text")), lambda n: F.struct(n.alias("line_no"), F.lit(rule).alias("rule")))
+
+    found = F.array_distinct(F.flatten(F.array(*map(named, text.SECRET_RULES))))
+    return documents.select("doc_id", "source", "lang", F.explode(found).alias("f")).select("doc_id", "source", "lang", "f.line_no", "f.rule")
 
 
 @query("secret_counts", f"with {_LINES}, hits as ({_HITS}) select source, lang, rule, count(*) as findings, count(distinct doc_id) as documents from hits group by 1, 2, 3")
@@ -301,7 +300,7 @@ _WORDS = " + ".join(f"cast(regexp_matches(lower(text), '(^|[^a-z]){w}($|[^a-z])'
   and length(regexp_replace(text, '[^A-Za-z]', '', 'g')) >= 0.97e0 * length(regexp_replace(text, '[^\\p{{L}}]', '', 'g'))
   and len(regexp_extract_all(lower(text), '[a-z]+')) >= 40 and ({_WORDS}) >= 5 as readable from documents""")
 def readable_text(t: Tables) -> DataFrame:
-    return t.documents.select("doc_id", "lang", text.readable_english(F.col("text")).alias("readable"))
+    return t.documents.select("doc_id", "lang", text.policy_language(F.col("text")).alias("readable"))
 
 
 @query("readable_words", "select doc_id, len(regexp_extract_all(lower(text), '[a-z]+')) as words, " + ", ".join(

@@ -6,8 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import running
-from ..session import JIT_LIMIT
-
+UTC = ("UTC", "Etc/UTC", "Z", "GMT")
 STRICT, RECONSTRUCTED = "STRICT_PIT", "RECONSTRUCTED_PIT"
 
 
@@ -15,8 +14,8 @@ class Tables:
     """Lazy access to the parquet tables of one directory."""
 
     def __init__(self, spark: SparkSession, directory: str):
-        for key, value in {"spark.sql.session.timeZone": "UTC", **JIT_LIMIT}.items():
-            spark.conf.set(key, value)
+        if spark.conf.get("spark.sql.session.timeZone") not in UTC:
+            spark.conf.set("spark.sql.session.timeZone", "UTC")  # the tables' clocks have no zone of their own
         self.spark, self.directory = spark, directory.rstrip("/")
 
     def __getattr__(self, name: str) -> DataFrame:

@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from ..functions import text
 from ..operators import temporal
 
-MAX_BYTES = 2_000_000
 MATCH_DOC = "name string, matches array<struct<round:string,date:string,time:string,team1:string,team2:string,score:string>>"
 PROVIDER_DOC = ("array<struct<match_id:bigint,home_team:struct<home_team_id:bigint,home_team_name:string>,away_team:struct<away_team_id:bigint,away_team_name:string>,"
                 "home_score:bigint,away_score:bigint,match_date:string,kick_off:string,match_status:string>>")
@@ -30,6 +29,11 @@ def pin(df: DataFrame, **columns: Column) -> DataFrame:
     return df.select("*", F.explode(F.array(packed)).alias("_pinned")).select(*df.columns, "_pinned.*")
 
 
+def _within(value: Column, limit: int | None) -> Column:
+    """True without a limit."""
+    return F.lit(True) if limit is None else value <= limit
+
+
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
     """One row per file: (path, body).  Whole files, split across tasks by Spark."""
     return spark.read.text(path, wholetext=True).select(F.input_file_name().alias("path"), F.col("value").alias("body"))
@@ -44,16 +48,16 @@ def policies(docs: DataFrame, body: str = "body") -> DataFrame:
     return parsed.withColumn("reviewed_at", text.offset_timestamp(F.col("reviewed_at")))
 
 
-def strict_json(body: Column) -> Column:
-    """Null when acceptable, else why not: size, syntax, repeated keys, non-finite numbers, scalar root."""
+def strict_json(body: Column, max_bytes: int | None = None) -> Column:
+    """Null when acceptable, else why not: syntax, repeated keys, non-finite numbers, scalar root, and size where a limit is given."""
     parsed = F.try_parse_json(body)
     root = F.substring(F.ltrim(body), 1, 1)
-    return (F.when(F.octet_length(body) > MAX_BYTES, "MAX_BYTES_EXCEEDED")
+    return (F.when(F.octet_length(body) > F.lit(max_bytes).cast("bigint"), "MAX_BYTES_EXCEEDED")
             .when(parsed.isNull() | ~root.isin("{", "["), "PARSE_FAILED"))
 
 
-def match_documents(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), max_goals: int = 50) -> tuple[DataFrame, DataFrame]:
-    """(rows, rejected documents).
+def match_documents(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), max_goals: int | None = None, max_matches: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """(rows, rejected documents); limits hold only where the caller sets them.
 
     A document is all or nothing: one malformed match rejects it.  A bare score list is kept
     as UNKNOWN_FORMAT and is never final.
@@ -67,12 +71,12 @@ def match_documents(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), max_go
         score = m["score"]
         goals = F.from_json(F.get_json_object(score, "$.ft"), "array<int>")
         ft_text = F.get_json_object(score, "$.ft")
-        ft_ok = (F.size(goals) == 2) & F.coalesce(F.forall(goals, lambda g: g.isNotNull() & g.between(0, max_goals)), F.lit(False))
+        ft_ok = (F.size(goals) == 2) & F.coalesce(F.forall(goals, lambda g: g.isNotNull() & (g >= 0) & _within(g, max_goals)), F.lit(False))
         bad_score = score.isNotNull() & F.when(score.startswith("{"), ft_text.isNotNull() & ~F.coalesce(ft_ok, F.lit(False))).otherwise(~score.startswith("["))
         return (blank(m["round"]) | blank(m["date"]) | blank(m["team1"]) | blank(m["team2"]) | (m["team1"] == m["team2"])
                 | ~F.coalesce(m["date"].rlike(r"^\d{4}-\d{2}-\d{2}$"), F.lit(False)) | m["date"].try_cast("date").isNull() | F.coalesce(bad_score, F.lit(False)))
 
-    reason = (F.when(F.coalesce(F.trim("name"), F.lit("")) == "", "NAME_MISSING").when(F.col("matches").isNull() | ~F.size("matches").between(1, 500), "MATCH_COUNT")
+    reason = (F.when(F.coalesce(F.trim("name"), F.lit("")) == "", "NAME_MISSING").when(F.col("matches").isNull() | (F.size("matches") < 1) | ~_within(F.size("matches"), max_matches), "MATCH_COUNT")
               .when(F.exists("matches", bad), "SCHEMA_CHANGED"))
     judged = pin(parsed, reason=reason)
     rows = judged.filter(F.col("reason").isNull()).select(*keep, F.col("name").alias("competition"), F.explode("matches").alias("m")).select(*keep, "competition", "m.*")
@@ -85,18 +89,23 @@ def match_documents(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), max_go
     return shaped, judged.filter(F.col("reason").isNotNull()).select(*keep, "reason")
 
 
-def provider_matches(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), provider: str = "provider") -> DataFrame:
-    """Integer-keyed matches; ids become provider-scoped text keys.  Rows missing a key are dropped as malformed."""
-    rows = docs.select(*keep, F.explode(F.from_json("body", PROVIDER_DOC)).alias("m"))
+def provider_matches(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), provider: str = "provider") -> tuple[DataFrame, DataFrame]:
+    """(matches, rejected entries) of integer-keyed documents; ids become provider-scoped text keys."""
+    entries = docs.select(*keep, F.posexplode_outer(F.from_json("body", PROVIDER_DOC)).alias("position", "m"))
     m = F.col("m")
-    sound = (m["match_id"].isNotNull() & m["home_team"]["home_team_id"].isNotNull() & m["away_team"]["away_team_id"].isNotNull()
-             & (m["home_score"] >= 0) & (m["away_score"] >= 0) & m["match_date"].try_cast("date").isNotNull())
+    missing = m["match_id"].isNull() | m["home_team"]["home_team_id"].isNull() | m["away_team"]["away_team_id"].isNull()
+    sound = (m["home_score"] >= 0) & (m["away_score"] >= 0) & m["match_date"].try_cast("date").isNotNull()
+    reason = F.when(m.isNull(), "PARSE_FAILED").when(missing, "KEY_MISSING").when(~F.coalesce(sound, F.lit(False)), "INVALID_VALUE")
+    judged = pin(entries, reason=reason)
+
     def scoped(kind: str, c: Column) -> Column:
         return F.concat_ws(":", F.lit(provider), F.lit(kind), c.cast("string"))
-    return rows.filter(F.coalesce(sound, F.lit(False))).select(
+
+    rows = judged.filter(F.col("reason").isNull()).select(
         *keep, scoped("match", m["match_id"]).alias("fixture_id"), scoped("team", m["home_team"]["home_team_id"]).alias("home_entity_id"),
         scoped("team", m["away_team"]["away_team_id"]).alias("away_entity_id"), m["home_score"].alias("home_score"), m["away_score"].alias("away_score"),
         m["match_date"].cast("date").alias("match_date"), F.coalesce(m["match_status"], F.lit("unknown")).alias("match_status"))
+    return rows, judged.filter(F.col("reason").isNotNull()).select(*keep, "position", "reason")
 
 
 def _ascending(times: Column) -> Column:
@@ -105,8 +114,11 @@ def _ascending(times: Column) -> Column:
     return F.forall(F.sequence(F.lit(0), n - 1), lambda i: times[i].isNotNull() & ((i == 0) | (F.get(times, i) > F.get(times, i - 1))))
 
 
-def forecast_arrays(docs: DataFrame, captured_at: Column, keep: tuple[str, ...] = ("doc_id",)) -> tuple[DataFrame, DataFrame]:
-    """(still-future hours, rejected documents) of parallel-array forecasts; values stay hypotheses."""
+def forecast_arrays(docs: DataFrame, captured_at: Column, keep: tuple[str, ...] = ("doc_id",), max_hours: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """(still-future hours, rejected documents) of parallel-array forecasts; values stay hypotheses.
+
+    max_hours rejects longer documents and later hours, where the caller sets it.
+    """
     read = pin(docs.select(*keep, captured_at.alias("captured_at"), "body"), d=F.from_json("body", ARRAYS_DOC)).drop("body")
     h, u, times = F.col("d.hourly"), F.col("d.hourly_units"), F.col("times")
     parsed = pin(read, times=F.transform(h["time"], lambda t: t.try_cast("timestamp_ntz")))
@@ -114,9 +126,10 @@ def forecast_arrays(docs: DataFrame, captured_at: Column, keep: tuple[str, ...]
         return F.forall(c, lambda v: F.coalesce(v.between(lo, hi), F.lit(False)))
     sound = (
         (F.col("d.utc_offset_seconds") == 0) & (u["time"] == "iso8601") & (u["temperature_2m"] == "°C") & (u["precipitation"] == "mm")
-        & F.size(h["time"]).between(1, 72) & (F.size(h["time"]) == F.size(h["temperature_2m"])) & (F.size(h["time"]) == F.size(h["precipitation"]))
+        & (F.size(h["time"]) >= 1) & _within(F.size(h["time"]), max_hours) & (F.size(h["time"]) == F.size(h["temperature_2m"])) & (F.size(h["time"]) == F.size(h["precipitation"]))
         & within(h["temperature_2m"], -100, 70) & within(h["precipitation"], 0, 500) & _ascending(times)
-        & (F.try_element_at(times, F.lit(-1)) > F.col("captured_at")) & (F.try_element_at(times, F.lit(-1)) <= F.col("captured_at") + F.expr("interval 3 days")))
+        & (F.try_element_at(times, F.lit(-1)) > F.col("captured_at"))
+        & (F.lit(True) if max_hours is None else F.try_element_at(times, F.lit(-1)) <= F.col("captured_at") + F.make_dt_interval(hours=F.lit(max_hours))))
     judged = parsed.withColumn("_ok", F.coalesce(sound, F.lit(False)))
     zipped = F.arrays_zip(times.alias("target_at"), h["temperature_2m"].alias("temperature_c"), h["precipitation"].alias("precipitation_mm"))
     rows = judged.filter("_ok").select(*keep, "captured_at", F.explode(zipped).alias("z")).select(
@@ -125,7 +138,7 @@ def forecast_arrays(docs: DataFrame, captured_at: Column, keep: tuple[str, ...]
     return future, judged.filter(~F.col("_ok")).select(*keep)
 
 
-def forecast_series(docs: DataFrame, captured_at: Column, keep: tuple[str, ...] = ("doc_id",)) -> tuple[DataFrame, DataFrame]:
+def forecast_series(docs: DataFrame, captured_at: Column, keep: tuple[str, ...] = ("doc_id",), max_points: int | None = None) -> tuple[DataFrame, DataFrame]:
     """(hours of the next three days, rejected documents) of nested series; missing rain is flagged, not filled."""
     read = pin(docs.select(*keep, captured_at.alias("captured_at"), "body"), d=F.from_json("body", SERIES_DOC)).drop("body")
     at, meta = F.col("captured_at"), F.col("d.properties.meta")
@@ -141,7 +154,7 @@ def forecast_series(docs: DataFrame, captured_at: Column, keep: tuple[str, ...]
         asked = (when > at) & (when <= at + F.expr("interval 3 days"))
         return ~asked | (F.coalesce(degrees.between(-100, 70), F.lit(False)) & (rain.isNull() | rain.between(0, 500)))
     sound = (
-        (meta["units"]["air_temperature"] == "celsius") & (meta["units"]["precipitation_amount"] == "mm") & F.size(series).between(1, 300)
+        (meta["units"]["air_temperature"] == "celsius") & (meta["units"]["precipitation_amount"] == "mm") & (F.size(series) >= 1) & _within(F.size(series), max_points)
         & (updated <= at) & (updated >= at - F.expr("interval 2 days")) & _ascending(times) & F.forall(series, point_ok)
         & F.exists(times, lambda t: (t > at) & (t <= at + F.expr("interval 3 days"))))
     judged = parsed.withColumn("_ok", F.coalesce(sound, F.lit(False)))
@@ -173,8 +186,11 @@ def _repeats(values: Column) -> Column:
     return F.size(F.array_distinct(values)) < F.size(values)
 
 
-def envelopes(docs: DataFrame, now: Column, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """Parsed envelope with its reason codes (all of them, in rule order) and provenance."""
+def envelopes(docs: DataFrame, now: Column, keep: tuple[str, ...] = ("doc_id",), limits: tuple[int | None, int | None, int | None] = (None, None, None)) -> DataFrame:
+    """Parsed envelope with its reason codes (all of them, in rule order) and provenance.
+
+    limits: most sources, artifacts and observations, where the caller sets them.
+    """
     parsed = pin(docs.select(*keep, "body"), e=F.from_json("body", ENVELOPE))
     e = F.col("e")
     producer, sources, artifacts, observations = e["producer"], e["sources"], e["artifacts"], e["observations"]
@@ -192,7 +208,7 @@ def envelopes(docs: DataFrame, now: Column, keep: tuple[str, ...] = ("doc_id",))
         "PARSE_FAILED": strict_json(F.col("body")).isNotNull(),
         "UNEXPECTED_OR_MISSING_FIELDS": unexpected | e["handoff_id"].isNull() | sources.isNull() | observations.isNull() | artifacts.isNull(),
         "INVALID_SCHEMA_ENUM": ~F.coalesce(producer.isin(*CAPTURE) & e["status"].isin("SUCCESS", "BLOCKED"), F.lit(False)),
-        "ARRAY_LIMIT": ~F.size(sources).between(1, 5) | (F.size(artifacts) > 10) | (F.size(observations) > 100),
+        "ARRAY_LIMIT": (F.size(sources) < 1) | ~_within(F.size(sources), limits[0]) | ~_within(F.size(artifacts), limits[1]) | ~_within(F.size(observations), limits[2]),
         "PRODUCER_CAPTURE_MISMATCH": e["capture_method"] != _lookup(CAPTURE, producer),
         "FUTURE_TIMESTAMP": created.isNull() | (created > now),
         "INVALID_BLOCKED_EVIDENCE": blocked & (e["reason"].isNull() | e["observed_failure"].isNull() | (F.size(observations) > 0)),
