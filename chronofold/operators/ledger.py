@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scores
-from ..session import cut_lineage
+from ..session import scratch_path
 from . import running, temporal
 
 GENESIS = "0" * 64
@@ -54,20 +54,20 @@ def build_chain(rows: DataFrame, chain: str, order: Sequence[str], body: Sequenc
     numbered = running.ordinal(rows, [chain], order, slice_by, name="sequence")
     work = numbered.select(F.col(chain).cast("string").alias("chain"), "sequence", body_text(body).alias("body"), F.lit(None).cast("string").alias("head"),
                            F.floor((F.col("sequence") - 1) / rows_per_slice).cast("int").alias("part"))
-    last = work.agg(F.max("part")).first()[0] or 0
-    if last > 0:
-        work = cut_lineage(work)
-    linked, heads = None, None
-    for i in range(last + 1):
-        part = work.filter(F.col("part") == i).drop("part")
-        if heads is not None:
+    # Written once by parts, so that each step reads its own part and the heads of the step before.
+    spark = rows.sparkSession
+    path, made = scratch_path(spark, "chain-events"), scratch_path(spark, "chain-links")
+    work.write.partitionBy("part").parquet(path)
+    stored = spark.read.parquet(path)
+    schema, last = stored.drop("part").schema, stored.agg(F.max("part")).first()[0]
+    for i in range((-1 if last is None else last) + 1):
+        part = spark.read.schema(schema).parquet(f"{path}/part={i}")
+        if i:  # sequences have no gaps, so a chain that goes on had its head in the part before
+            heads = spark.read.schema(CHAIN_SCHEMA).parquet(f"{made}/part={i - 1}").groupBy("chain").agg(F.max_by("hash", "sequence").alias("head"))
             part = part.unionByName(heads.join(part.select("chain").distinct(), "chain", "left_semi"), allowMissingColumns=True)
         done = part.repartition("chain").sortWithinPartitions("chain", F.col("sequence").asc_nulls_first()).mapInPandas(fold_chains, CHAIN_SCHEMA)
-        if last > 0:
-            done = cut_lineage(done)
-            tips = done.groupBy("chain").agg(F.max_by("hash", "sequence").alias("head"))
-            heads = tips
-        linked = done if linked is None else linked.unionByName(done)
+        done.write.parquet(f"{made}/part={i}")
+    linked = spark.createDataFrame([], CHAIN_SCHEMA) if last is None else spark.read.schema(CHAIN_SCHEMA).parquet(*[f"{made}/part={i}" for i in range(last + 1)])
     return numbered.withColumn("_chain", F.col(chain).cast("string")).join(
         linked.withColumnRenamed("chain", "_chain"), ["_chain", "sequence"]).drop("_chain")
 

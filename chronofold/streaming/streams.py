@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import StructType
 
-from ..operators import gates, models
+from ..functions import ratings
+from ..operators import gates
 from ..sources import tables
 
 
@@ -208,24 +209,19 @@ class LiveRatings(StatefulProcessor):
         self.ratings = handle.getMapState("ratings", "team bigint", "rating double")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        frame = pd.concat(list(rows)).sort_values(["completed_us", "match_id"])
-        live: dict[int, float] = {}
-
-        def rating(team: int) -> float:
-            if team not in live:
-                live[team] = float(self.ratings.getValue((team,))[0]) if self.ratings.containsKey((team,)) else models.ELO_START
-            return live[team]
-
-        chances = []
-        for home, away, hg, ag in zip(frame.home_id, frame.away_id, frame.home_goals, frame.away_goals):
-            h, a = rating(int(home)), rating(int(away))
-            expected = 1 / (1 + 10 ** ((a - h - models.ELO_HOME) / 400))
-            chances.append(expected)
-            change = models.ELO_K * ((1.0 if hg > ag else 0.0 if hg < ag else 0.5) - expected)
-            live[int(home)], live[int(away)] = h + change, a - change
-        for team, value in live.items():
+        board, touched = ratings.Board(), set()
+        for frame in rows:
+            ordered, chances = frame.sort_values(["completed_us", "match_id"]), []
+            for r in ordered.itertuples():
+                for team in {int(r.home_id), int(r.away_id)} - touched:
+                    touched.add(team)
+                    if self.ratings.containsKey((team,)):
+                        board.ratings[team] = float(self.ratings.getValue((team,))[0])
+                chances.append(board.chance(int(r.home_id), int(r.away_id)))
+                board.change((r.completed_us, r.match_id), int(r.home_id), int(r.away_id), int(r.home_goals - r.away_goals))
+            yield pd.DataFrame({"competition_id": key[0], "match_id": ordered.match_id.astype("int64").to_numpy(), "chance": chances})
+        for team, value in board.ratings.items():
             self.ratings.updateValue((team,), (value,))
-        yield pd.DataFrame({"competition_id": key[0], "match_id": frame.match_id.astype("int64").to_numpy(), "chance": chances})
 
     def close(self) -> None:
         pass
