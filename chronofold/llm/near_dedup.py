@@ -32,18 +32,19 @@ from .shared import store
 SAMPLES = 256
 BANDS, ROWS = 16, 4  # at a similarity of 0.85 a pair shares no band with probability 8e-6
 SKETCH_WORDS = 16  # 1024 bits
+FINE_SAMPLES, FINE_WORDS = 1024, 64  # of the few members that are compared across components
 SLACK = 4  # standard deviations by which a sketch may understate the similarity
 BLOCK = 2048  # members of a split bucket that one block compares
 
 U64 = np.uint64
 
 
-def _minhashes(shingles: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """(SAMPLES, rows) MinHash values of 32 bits; every row has a shingle."""
-    multiply, add = bytekit.stream(3, SAMPLES) | U64(1), bytekit.stream(5, SAMPLES)
-    out = np.empty((SAMPLES, len(offsets) - 1), np.uint32)
+def _minhashes(shingles: np.ndarray, offsets: np.ndarray, samples: int = SAMPLES) -> np.ndarray:
+    """(samples, rows) MinHash values of 32 bits; every row has a shingle."""
+    multiply, add = bytekit.stream(3, samples) | U64(1), bytekit.stream(5, samples)
+    out = np.empty((samples, len(offsets) - 1), np.uint32)
     scratch = np.empty_like(shingles)
-    for i in range(SAMPLES):
+    for i in range(samples):
         np.multiply(shingles, multiply[i], out=scratch)
         np.add(scratch, add[i], out=scratch)
         high = (scratch >> U64(32)).astype(np.uint32)
@@ -62,9 +63,9 @@ def _bands(values: np.ndarray) -> np.ndarray:
     return keys
 
 
-def _odd_sketches(values: np.ndarray) -> np.ndarray:
-    """(rows, SKETCH_WORDS): each sample flips the bit that its place and value choose."""
-    n, bits = values.shape[1], SKETCH_WORDS * 64
+def _odd_sketches(values: np.ndarray, words: int = SKETCH_WORDS) -> np.ndarray:
+    """(rows, words): each sample flips the bit that its place and value choose."""
+    n, bits = values.shape[1], words * 64
     place = bytekit.mixed(values.astype(U64) + (np.arange(len(values), dtype=U64)[:, None] << U64(32))) % U64(bits)
     flips = np.zeros((n, bits), np.uint8)
     columns = np.arange(n)
@@ -125,21 +126,35 @@ def shingle_sets(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "key bigint, shingles array<bigint>")
 
 
+def fine_sketches(sets: DataFrame) -> DataFrame:
+    """(key, fine): odd sketches of FINE_SAMPLES samples of (key, shingles)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 100):
+                part = batch.slice(at, 100)
+                flat = part.column(1).flatten().to_numpy().view(U64)
+                offsets = np.concatenate(([0], np.cumsum([len(x) for x in part.column(1)])))
+                yield pa.RecordBatch.from_arrays([part.column(0), _lists(_odd_sketches(_minhashes(flat, offsets, FINE_SAMPLES), FINE_WORDS))], names=["key", "fine"])
+
+    return sets.select("key", "shingles").filter(F.size("shingles") > 0).mapInArrow(run, "key bigint, fine array<bigint>")
+
+
 def differing(a: str, b: str) -> Column:
     """Set bits in the exclusive or of two odd sketches."""
     return F.expr(f"aggregate(zip_with({a}, {b}, (x, y) -> bit_count(x ^ y)), 0, (s, x) -> s + x)")
 
 
-def most_differing(percent: int) -> int:
+def most_differing(percent: int, samples: int = SAMPLES, words: int = SKETCH_WORDS) -> int:
     """Set bits that two sketches at the threshold stay under, with SLACK standard deviations.
 
     m samples differ, so 2m elements fall into the bits; those that meet cancel, which takes two set
     bits each time.
     """
-    bits, miss = SKETCH_WORDS * 64, 1 - percent / 100
-    elements = 2 * SAMPLES * miss
+    bits, miss = words * 64, 1 - percent / 100
+    elements = 2 * samples * miss
     mean = bits / 2 * (1 - (1 - 2 / bits) ** elements)
-    by_samples, by_meeting = 4 * SAMPLES * miss * (1 - miss), 4 * elements**2 / (2 * bits)
+    by_samples, by_meeting = 4 * samples * miss * (1 - miss), 4 * elements**2 / (2 * bits)
     return int(mean + SLACK * (by_samples + by_meeting) ** 0.5) + 1
 
 
@@ -164,23 +179,21 @@ def components(links: DataFrame) -> DataFrame:
         before = state
 
 
-def confirm(pairs: DataFrame, nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) that odd sketches let through and whose full sets are similar enough.
-
-    Pairs grow with the corpus, so they are never broadcast.
-    """
+def likely(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) that sizes and odd sketches let through. Pairs grow with the corpus and are never broadcast."""
     left = nodes.select(F.col("key").alias("a"), F.col("sketch").alias("sa"), F.col("n_shingles").alias("na"))
     right = nodes.select(F.col("key").alias("b"), F.col("sketch").alias("sb"), F.col("n_shingles").alias("nb"))
-    likely = (
-        pairs.hint("merge").join(left, "a").join(right, "b")
-        .filter(F.expr(f"100 * least(na, nb) >= {percent} * greatest(na, nb)") & (differing("sa", "sb") <= most_differing(percent)))
-        .select("a", "b")
-    )
-    full = likely.join(sets.select(F.col("key").alias("a"), F.col("shingles").alias("xa")), "a").join(
+    both = pairs.hint("merge").join(left, "a").join(right, "b")
+    return both.filter(F.expr(f"100 * least(na, nb) >= {percent} * greatest(na, nb)") & (differing("sa", "sb") <= most_differing(percent))).select("a", "b")
+
+
+def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose full sets are similar enough."""
+    full = pairs.join(sets.select(F.col("key").alias("a"), F.col("shingles").alias("xa")), "a").join(
         sets.select(F.col("key").alias("b"), F.col("shingles").alias("xb")), "b"
     )
     shared = full.select("a", "b", F.size("xa").alias("na"), F.size("xb").alias("nb"), F.size(F.array_intersect("xa", "xb")).alias("i"))
-    return shared.filter(f"100L * i >= {percent}L * (na + nb - i)").select("a", "b")
+    return shared.filter(f"100L * i >= {percent}L * (na + nb - i)").select("a", "b").distinct()
 
 
 def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = 85) -> DataFrame:
@@ -199,7 +212,7 @@ def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: in
     sets = store(shingle_sets(wanted), "sets")
 
     stars = members.filter("key <> low").select(F.col("key").alias("a"), F.col("low").alias("b")).distinct()
-    links = store(confirm(stars, nodes, sets, percent), "links")
+    links = store(confirm(likely(stars, nodes, percent), sets, percent), "links")
     roots = components(links)
 
     def split(roots: DataFrame) -> DataFrame:
@@ -211,17 +224,26 @@ def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: in
     parts = split(roots)
     tops = parts.filter("key = high").select("bucket", F.col("root").alias("top_root"))
     again = parts.join(tops, "bucket").filter("key <> high and root <> top_root").select(F.col("key").alias("a"), F.col("high").alias("b")).distinct()
-    links = store(links.union(confirm(again, nodes, sets, percent)), "links")
+    links = store(links.union(confirm(likely(again, nodes, percent), sets, percent)), "links")
     roots = components(links)
 
-    rest = split(roots).join(nodes.select("key", "sketch", "n_shingles", "bands"), "key")
+    # What is still split is compared across components, by sketches fine enough that few pairs in
+    # vain reach the full sets.
+    parts = store(split(roots), "parts")
+    fine = store(fine_sketches(sets.join(parts.select("key").distinct(), "key", "left_semi")), "fine")
+    rest = parts.join(nodes.select("key", "n_shingles", "bands"), "key").join(fine, "key")
     blocks = F.greatest(F.lit(1), F.ceil(F.col("n") / BLOCK).cast("int"))
-    one = rest.select("bucket", F.col("key").alias("a"), F.col("root").alias("ra"), F.col("sketch").alias("sa"), F.col("n_shingles").alias("na"), F.col("bands").alias("ba"), F.pmod(F.xxhash64("key"), blocks).alias("block"))
-    other = rest.select("bucket", F.col("key").alias("b"), F.col("root").alias("rb"), F.col("sketch").alias("sb"), F.col("n_shingles").alias("nb"), F.col("bands").alias("bb"), F.explode(F.sequence(F.lit(0).cast("bigint"), (blocks - 1).cast("bigint"))).alias("block"))
-    likely = (F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")) & F.expr(f"100 * least(na, nb) >= {percent} * greatest(na, nb)") & (differing("sa", "sb") <= most_differing(percent))
-    likely &= F.col("x.bucket") == F.get(F.array_intersect("ba", "bb"), F.lit(0))  # once for all buckets that a pair shares
-    across = one.alias("x").join(other.alias("y"), (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.block") == F.col("y.block")) & likely).select("a", "b").distinct()
-    more = confirm(across, nodes, sets, percent)
+
+    def side(letter: str, block: Column) -> DataFrame:
+        return rest.select("bucket", *[F.col(c).alias(letter + c) for c in ("key", "root", "fine", "n_shingles", "bands")], block.alias("block"))
+
+    one = side("a_", F.pmod(F.xxhash64("key"), blocks))
+    other = side("b_", F.explode(F.sequence(F.lit(0).cast("bigint"), (blocks - 1).cast("bigint"))))
+    meet = (F.col("a_key") < F.col("b_key")) & (F.col("a_root") != F.col("b_root")) & F.expr(f"100 * least(a_n_shingles, b_n_shingles) >= {percent} * greatest(a_n_shingles, b_n_shingles)")
+    meet &= differing("a_fine", "b_fine") <= most_differing(percent, FINE_SAMPLES, FINE_WORDS)
+    meet &= F.col("x.bucket") == F.get(F.array_intersect("a_bands", "b_bands"), F.lit(0))  # once for all buckets that a pair shares
+    across = one.alias("x").join(other.alias("y"), (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.block") == F.col("y.block")) & meet)
+    more = confirm(across.select(F.col("a_key").alias("a"), F.col("b_key").alias("b")).distinct(), sets, percent)
     roots = components(store(links.union(more), "links"))
 
     # From nodes back to rows: by the set's digest, and by key for rows that share one.
