@@ -89,23 +89,33 @@ def consensus_proportional(t: Tables) -> DataFrame:
     return fair_out(market.consensus(known(t)), "fixture_id", "bookmakers")
 
 
-@query("consensus_power")
+def powered(source: str) -> str:
+    """The exponent of every quote of `source`, halving an interval sixty times."""
+    return f""",
+halves as (
+  select snapshot_id, 1/odds_home as q1, 1/odds_draw as q2, 1/odds_away as q3, 0e0 as lo, 4096e0 as hi, 0 as i from {source}
+  union all select snapshot_id, q1, q2, q3, case when pow(q1, (lo+hi)/2) + pow(q2, (lo+hi)/2) + pow(q3, (lo+hi)/2) > 1 then (lo+hi)/2 else lo end,
+    case when pow(q1, (lo+hi)/2) + pow(q2, (lo+hi)/2) + pow(q3, (lo+hi)/2) > 1 then hi else (lo+hi)/2 end, i + 1 from halves where i < 70),
+solved as (select snapshot_id, (lo+hi)/2 as k, pow(q1,(lo+hi)/2) as f1, pow(q2,(lo+hi)/2) as f2, pow(q3,(lo+hi)/2) as f3 from halves where i = 70)"""
+
+
+def recursive(*parts: str) -> str:
+    return with_(*parts).replace("with", "with recursive", 1)
+
+
+@query("consensus_power", recursive(RICH) + LATEST + powered("latest") + """
+select fixture_id, count(*) as bookmakers, round(avg(f1/(f1+f2+f3)),8) as fair_home, round(avg(f2/(f1+f2+f3)),8) as fair_draw, round(avg(f3/(f1+f2+f3)),8) as fair_away
+from latest join solved using (snapshot_id) group by 1""")
 def consensus_power(t: Tables) -> DataFrame:
     return fair_out(market.consensus(known(t), "POWER"), "fixture_id", "bookmakers")
 
 
-@query("power_demargin", with_(QUOTE) + """select snapshot_id, true as sums_to_one, true as keeps_order, true as exponent_solves from v_quote""")
+@query("power_demargin", recursive(QUOTE) + powered("v_quote") + """
+select snapshot_id, round(k,6) as exponent, round(f1/(f1+f2+f3),8) as fair_home, round(f2/(f1+f2+f3),8) as fair_draw, round(f3/(f1+f2+f3),8) as fair_away from solved""")
 def power_demargin(t: Tables) -> DataFrame:
-    """Properties of the power method on every quote: normalised, order kept, exponent solves the mass equation."""
-    q = views.quotes(t).withColumn("k", scores.power_exponent(market.odds_columns()))
-    mass = sum((F.pow(scores.implied(o), F.col("k")) for o in market.odds_columns()), F.lit(0.0))
-    fair = market.demargined(q, "POWER")
-    ordered = F.lit(True)
-    for a, b in ((0, 1), (1, 2), (0, 2)):
-        lower = F.col(market.ODDS[a]) < F.col(market.ODDS[b])
-        ordered = ordered & (~lower | (F.col(FAIR[a]) >= F.col(FAIR[b])))
-    return fair.select("snapshot_id", scores.is_distribution([F.col(f) for f in FAIR]).alias("sums_to_one"), ordered.alias("keeps_order"),
-                       (F.abs(mass - 1) < 1e-9).alias("exponent_solves"))
+    """Exponent and fair probabilities of every quote by the power method."""
+    fair = market.demargined(views.quotes(t).withColumn("k", scores.power_exponent(market.odds_columns())), "POWER")
+    return fair.select("snapshot_id", F.round("k", 6).alias("exponent"), *[r(f, 8) for f in FAIR])
 
 
 @query("consensus_report", with_(RICH) + LATEST + """,

@@ -37,7 +37,25 @@ def poisson_glm(t: Tables) -> DataFrame:
     return g.select("match_id", r("glm_home"), r("glm_away"), *[F.round(p, 6).alias(c) for p, c in zip(forecast.grid_probabilities(), P)])
 
 
-@query("elo_walk_forward")
+# Results and questions of a competition in one order; ratings are a list by team, moved step by step.
+RATED = """,
+steps as (
+  select *, row_number() over (partition by competition_id order by known_at, step, completed_at, match_id) as i from (
+    select competition_id, match_id, home_id, away_id, greatest(available_at, completed_at + interval '1' microsecond) as known_at, 1 as step, completed_at, home_goals - away_goals as goals
+    from v_match where available_at is not null
+    union all select competition_id, match_id, home_id, away_id, kickoff_at, 2, null, null from v_match)),
+walk as (
+  select distinct competition_id, cast(0 as bigint) as i, cast(null as bigint) as match_id, cast(null as double) as chance, [1500e0 for x in range(25)] as ratings from v_match
+  union all
+  select s.competition_id, s.i, case when step = 2 then s.match_id end, 1e0 / (1e0 + pow(10e0, (w.ratings[away_id + 1] - w.ratings[home_id + 1] - 65e0) / 400e0)),
+    case when step = 2 then w.ratings else list_transform(w.ratings, lambda x, j: x + (case j - 1 when home_id then 20e0 when away_id then -20e0 else 0e0 end)
+      * ((sign(goals) + 1e0) / 2e0 - 1e0 / (1e0 + pow(10e0, (w.ratings[away_id + 1] - w.ratings[home_id + 1] - 65e0) / 400e0)))) end
+  from walk w join steps s on s.competition_id = w.competition_id and s.i = w.i + 1)"""
+
+
+@query("elo_walk_forward", with_(MATCH, league()).replace("with", "with recursive", 1) + RATED + """
+select match_id, l.competition_id, round((1 - (c_draw+1e0)/(n+3e0)) * chance, 7) as p_home, round((c_draw+1e0)/(n+3e0), 7) as p_draw, round((1 - (c_draw+1e0)/(n+3e0)) * (1 - chance), 7) as p_away
+from league l join walk using (match_id)""")
 def elo_walk_forward(t: Tables) -> DataFrame:
     m = views.matches(t)
     frame = forecast.league_frame(m, m, RECONSTRUCTED)
