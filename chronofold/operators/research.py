@@ -23,9 +23,10 @@ def rank(needs: DataFrame, scenarios: DataFrame, allowed: DataFrame, states: Dat
         F.sum(F.col("weight") * scores.entropy(cond)).alias("_h"), F.max(scores.total_variation(base, cond)).alias("max_total_variation"))
     approved = allowed.join(states.filter(F.col("state") == "APPROVED"), "source_id").groupBy("need_id").agg(
         F.count(F.lit(1)).alias("approved_sources"), F.min_by("source_id", "position").alias("first_source"))
-    joined = needs.join(outlook, "need_id").join(approved, "need_id", "left")
+    # A need without a scenario has no outlook: it stays, as not feasible and without a gain.
+    joined = needs.join(outlook, "need_id", "left").join(approved, "need_id", "left")
     remaining = F.timestamp_diff("MICROSECOND", now, F.col("deadline")) / F.lit(1e6)
-    feasible = F.coalesce((F.col("approved_sources") > 0) & (now < F.col("deadline")) & (F.col("cost") <= budget) & (F.col("seconds") < remaining), F.lit(False))
+    feasible = F.coalesce((F.col("approved_sources") > 0) & F.col("_h").isNotNull() & (now < F.col("deadline")) & (F.col("cost") <= budget) & (F.col("seconds") < remaining), F.lit(False))
     gain = scores.entropy(base) - F.col("_h")
     return joined.withColumns({
         "approved_sources": F.coalesce("approved_sources", F.lit(0)), "feasible": feasible, "entropy_gain": gain,

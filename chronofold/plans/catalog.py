@@ -6,7 +6,7 @@ import importlib
 
 from .registry import ORACLES, PLANS, Query, bind
 
-FAMILIES = ("point_in_time", "forecasting", "market", "evidence", "quality", "decisions", "ingest", "modelling")
+FAMILIES = ("point_in_time", "forecasting", "market", "evidence", "quality", "decisions", "ingest", "modelling", "live")
 
 for _family in FAMILIES:
     importlib.import_module(f"{__package__}.{_family}")
