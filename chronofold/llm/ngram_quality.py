@@ -238,7 +238,7 @@ def trusted_texts(docs: DataFrame, trusted: DataFrame, key: str = "doc_id", text
     bitmap = bitmap.groupBy("word").agg(F.bit_or("mask").alias("mask"))  # 2^17 rows at most
     rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
     likely = rows.withColumn("word", word).join(F.broadcast(bitmap), "word").filter(F.call_function("shiftrightunsigned", F.col("mask"), bit).bitwiseAND(F.lit(1)) == 1)
-    return likely.join(keys, "key", "left_semi").select("text")
+    return likely.join(keys.hint("merge"), "key", "left_semi").select("text")  # keys grow with the corpus
 
 
 def thresholds(scored: DataFrame, trusted: DataFrame, key: str = "doc_id") -> DataFrame:
