@@ -7,7 +7,7 @@ features are then column arithmetic over it.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -179,6 +179,30 @@ def long_forecasts(frame: DataFrame, models: dict[str, Sequence[Column]], keep:
     return frame.select(*keep, F.explode(packed).alias("_f")).select(*keep, "_f.*")
 
 
+# A forecast model is a function that gives three probabilities as columns of `pit_frame`.
+Model = Callable[[], Sequence[Column]]
+MODELS: dict[str, Model] = {"LEAGUE_EMPIRICAL": league_probabilities, "VENUE_EMPIRICAL": venue_probabilities, "UNIFORM": uniform_probabilities}
+
+
+def register_model(name: str) -> Callable[[Model], Model]:
+    """Adds a model under a name of its own."""
+
+    def register(model: Model) -> Model:
+        if name in MODELS:
+            raise ValueError(f"model {name} is registered twice")
+        MODELS[name] = model
+        return model
+
+    return register
+
+
+def registered_forecasts(targets: DataFrame, results: DataFrame, mode: str, names: Sequence[str] | None = None, floor: int = 50) -> DataFrame:
+    """Long forecasts of the registered models, all over one frame."""
+    ready = pit_frame(targets, results, mode).filter(F.col("n") >= floor)
+    chosen = {name: MODELS[name]() for name in (names or MODELS)}
+    return long_forecasts(ready, chosen, ["match_id", "competition_id", "decision_at", "n"])
+
+
 def skip_reasons(frame: DataFrame, start: Column, end: Column, floor: int, schedule_known: Column) -> DataFrame:
     """Why a target is not forecast; null when it is."""
     inside = (F.col("decision_at") >= start) & (F.col("decision_at") < end)

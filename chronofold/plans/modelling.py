@@ -82,6 +82,22 @@ def knn_ablation(t: Tables) -> DataFrame:
     return _knn(t, [n for n in models.KNN_FEATURES if n not in models.ABLATED])
 
 
+@forecast.register_model("LEAGUE_STRONG_PRIOR")
+def strong_prior() -> list:
+    """League frequencies with twenty matches of a uniform league added."""
+    return [(F.col(f"c_{k}") + 20) / (F.col("n") + 60) for k in scores.LETTERS]
+
+
+@query("plugged_models", with_(MATCH, league()) + """, m as (select match_id, n, (c_home+1e0)/(n+3e0) as a1, (c_draw+1e0)/(n+3e0) as a2, (c_away+1e0)/(n+3e0) as a3,
+  (c_home+20e0)/(n+60e0) as b1, (c_draw+20e0)/(n+60e0) as b2, (c_away+20e0)/(n+60e0) as b3 from league where n >= 50)
+select match_id, 'LEAGUE_EMPIRICAL' as model_id, round(a1,7) as p_home, round(a2,7) as p_draw, round(a3,7) as p_away from m
+union all select match_id, 'LEAGUE_STRONG_PRIOR', round(b1,7), round(b2,7), round(b3,7) from m""")
+def plugged_models(t: Tables) -> DataFrame:
+    m = views.matches(t)
+    made = forecast.registered_forecasts(m, m, RECONSTRUCTED, ["LEAGUE_EMPIRICAL", "LEAGUE_STRONG_PRIOR"])
+    return made.select("match_id", "model_id", *[r(p, 7) for p in P])
+
+
 # -- ensembles of the models that plain SQL can follow --------------------------------------------
 
 TRIO = (MATCH, league(), VENUE, POSTERIOR, RATES, GRID, """
