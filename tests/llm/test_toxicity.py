@@ -25,7 +25,7 @@ def test_unseen_misspellings_are_near_and_runs_count_once():
     rest = "the raloen ston enmi rami lostra onthe miloen " * 4
     found = toxicity.scores(model, [rest, rest + " idiiot worthlesss", "moron", "", "ra " * 500, " \n"])
     assert found[0] < 0.5 and found[1] >= 0.5 and found[2] >= 0.5 and found[3] == found[5] == 0
-    assert found[4] == toxicity.scores(model, ["ra"])[0]
+    assert abs(found[4] - toxicity.scores(model, ["ra"])[0]) < 1e-9
     test, truth = corpus(90, 11)
     assert sum((s >= 0.5) == bool(t) for s, t in zip(toxicity.scores(model, test), truth)) >= 86
 
