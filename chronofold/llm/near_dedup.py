@@ -2,7 +2,7 @@
 
 A document is its set of five-word shingles. Equal sets collapse into one node before anything is
 compared, so thousands of copies cost one row each. For a node, SAMPLES MinHash values are taken;
-BANDS bands of ROWS values propose candidates, and all values are folded into an odd sketch, a
+bands of ROWS values, as many as the threshold asks for, propose candidates, and all values are folded into an odd sketch, a
 parity bitmap: each (place, value) flips one bit, so shared samples cancel in the exclusive or of
 two sketches, and its population count tells how many samples differ. Candidates whose sketches
 leave room for the threshold are confirmed on the full sets.
@@ -18,6 +18,7 @@ result; other columns are ignored.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,7 +31,8 @@ from . import bytekit
 from .shared import store
 
 SAMPLES = 256
-BANDS, ROWS = 16, 4  # at a similarity of 0.85 a pair shares no band with probability 8e-6
+ROWS = 4  # values of a band
+MISS = 1e-5  # probability at most that a pair at the threshold shares no band
 SKETCH_WORDS = 16  # 1024 bits
 FINE_SAMPLES, FINE_WORDS = 1024, 64  # of the few members that are compared across components
 SLACK = 4  # standard deviations by which a sketch may understate the similarity
@@ -39,6 +41,16 @@ BLOCK = 2048  # members of a split bucket that one block compares
 U64 = np.uint64
 
 
+def bands_for(percent: int) -> int:
+    """Bands that a pair at the threshold misses with probability MISS at most: 16 at 85, 22 at 80."""
+    if percent >= 100:
+        return 1
+    bands = math.ceil(math.log(MISS) / math.log(1 - (percent / 100) ** ROWS))
+    if bands * ROWS > SAMPLES:
+        raise ValueError(f"{SAMPLES} samples are too few for a threshold of {percent} percent")
+    return bands
+
+
 def _minhashes(shingles: np.ndarray, offsets: np.ndarray, samples: int = SAMPLES) -> np.ndarray:
     """(samples, rows) MinHash values of 32 bits; every row has a shingle."""
     multiply, add = bytekit.stream(3, samples) | U64(1), bytekit.stream(5, samples)
@@ -52,10 +64,10 @@ def _minhashes(shingles: np.ndarray, offsets: np.ndarray, samples: int = SAMPLES
     return out
 
 
-def _bands(values: np.ndarray) -> np.ndarray:
-    """(rows, BANDS) keys; the band's number is part of its key."""
-    keys = np.empty((values.shape[1], BANDS), U64)
-    for band in range(BANDS):
+def _bands(values: np.ndarray, bands: int) -> np.ndarray:
+    """(rows, bands) keys; the band's number is part of its key."""
+    keys = np.empty((values.shape[1], bands), U64)
+    for band in range(bands):
         total = np.full(values.shape[1], band + 1, U64)
         for row in values[band * ROWS : (band + 1) * ROWS]:
             total = bytekit.mixed(total * U64(0x9E3779B97F4A7C15) + row)
@@ -90,8 +102,9 @@ def _lists(values: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.arange(0, n * width + 1, width, dtype=np.int32)), pa.array(np.ascontiguousarray(values).view(np.int64).ravel()))
 
 
-def sketches(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def sketches(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = 85) -> DataFrame:
     """(key, n_shingles, set1, set2, bands, sketch): set1 and set2 are a 128-bit digest of the set."""
+    n_bands = bands_for(percent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["key", "n_shingles", "set1", "set2", "bands", "sketch"]
@@ -101,12 +114,12 @@ def sketches(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
                 full = np.flatnonzero(size)
                 keep = np.concatenate((offsets[full], offsets[-1:]))
                 digests = np.zeros((2, b - a), U64)
-                bands, sketch = np.zeros((b - a, BANDS), U64), np.zeros((b - a, SKETCH_WORDS), U64)
+                bands, sketch = np.zeros((b - a, n_bands), U64), np.zeros((b - a, SKETCH_WORDS), U64)
                 if len(full):
                     values = _minhashes(flat, keep)
                     digests[0, full] = np.add.reduceat(bytekit.mixed(flat ^ U64(0xA5A5)), keep[:-1])
                     digests[1, full] = np.add.reduceat(bytekit.mixed(flat + U64(0x5A5A5A)), keep[:-1])
-                    bands[full], sketch[full] = _bands(values), _odd_sketches(values)
+                    bands[full], sketch[full] = _bands(values, n_bands), _odd_sketches(values)
                 columns = [pa.array(size, pa.int64()), *[pa.array(d.view(np.int64)) for d in digests], _lists(bands), _lists(sketch)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), *columns], names=names)
 
@@ -198,7 +211,7 @@ def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = 85) -> DataFrame:
     """(key, n_shingles, component_id, kept) for every row of `docs`."""
-    rows = store(sketches(docs, key, text), "sketches")
+    rows = store(sketches(docs, key, text, percent), "sketches")
     whole = rows.filter("n_shingles > 0 and key is not null")
     sets_of = ["set1", "set2", "n_shingles"]
     first = whole.groupBy(*sets_of).agg(F.min("key").alias("key"))

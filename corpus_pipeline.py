@@ -18,6 +18,7 @@ from chronofold.llm.queries import QUERIES as OPERATORS
 from chronofold.llm.shared import store
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+NEAR_PERCENT = 80  # similarity of word shingles from which the near_dedup stage takes two documents for copies
 
 
 def _without(docs: DataFrame, keys: DataFrame) -> DataFrame:
@@ -33,8 +34,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group stays."""
-    groups = near_dedup.groups(docs.select("doc_id", "text"))
+    """One document of each group of near copies, from NEAR_PERCENT on, stays."""
+    groups = near_dedup.groups(docs.select("doc_id", "text"), percent=NEAR_PERCENT)
     return _without(docs, store(groups.filter("not kept").select("doc_id"), "copies"))
 
 
