@@ -1,10 +1,10 @@
 """Benchmark passages in documents, by SimHash over item-sized windows.
 
 Every item and every window of as many words as an item has is fingerprinted with a 64-bit SimHash
-of its words. A multi-index finds all items within RADIUS bits: the fingerprint is cut into BLOCKS
-blocks, and two fingerprints that differ in at most RADIUS bits differ in at most RADIUS // BLOCKS
-bits in one block; items are listed under every block value that near, windows look up their own
-block values. Candidates are verified exactly: the weighted similarity of their shingle bags (sum of
+of its words. A multi-index finds all items within a radius that follows from the threshold: the
+fingerprint is cut into blocks, so many that two fingerprints within the radius differ in at most
+NEAR bits in one of them; items are listed under every block value that near, windows look up their
+own block values. Candidates are verified exactly: the weighted similarity of their shingle bags (sum of
 the smaller over sum of the larger multiplicities) must reach the threshold.
 
 Windows that cannot reach it are not fingerprinted: a window of n words needs 2t/(1+t) of its
@@ -19,18 +19,21 @@ each; empty tables give an empty result; other columns are ignored.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from itertools import combinations, pairwise
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import bytekit
 from .shared import store
 
-RADIUS = 11  # bits; bags that share 9 of 10 words differ in more with a probability below 0.01
-BLOCKS, BLOCK_BITS = 4, 16
+BITS = 64
+NEAR = 2  # bits in which a block may differ from the one that an item is listed under
+SLACK = 4.5  # standard deviations by which two prints at the threshold may differ more than on average
 BITMAP_BITS = 24
 
 U64 = np.uint64
@@ -164,17 +167,30 @@ def windows(docs: DataFrame, benchmark: DataFrame, percent: int, key: str = "doc
     return rows.mapInArrow(run, WINDOW_SCHEMA)
 
 
-def _blocks(print_column: str):
-    """(number, value) of the blocks of a fingerprint."""
-    mask = (1 << BLOCK_BITS) - 1
-    return [F.shiftrightunsigned(F.col(print_column), b * BLOCK_BITS).bitwiseAND(F.lit(mask)).cast("int") for b in range(BLOCKS)]
+def radius(percent: int) -> int:
+    """Bits in which the prints of two bags at the threshold differ at most, but for SLACK standard deviations.
 
+    Such bags share 2t/(1+t) of their words. A bit is the sign of a sum over the words, so two sums
+    correlate by that share, and their signs differ with probability arccos(share) / pi.
+    """
+    flips = math.acos(2 * percent / (100 + percent)) / math.pi
+    return min(BITS, math.ceil(BITS * flips + SLACK * (BITS * flips * (1 - flips)) ** 0.5))
 
-def _near_masks() -> list[int]:
-    """All block values with at most RADIUS // BLOCKS bits set."""
-    from itertools import combinations
 
-    return [sum(1 << i for i in c) for k in range(RADIUS // BLOCKS + 1) for c in combinations(range(BLOCK_BITS), k)]
+def block_edges(percent: int) -> list[int]:
+    """Borders of the blocks: one more than radius // (NEAR + 1), so one block differs in at most NEAR bits."""
+    n = radius(percent) // (NEAR + 1) + 1
+    return [BITS * b // n for b in range(n + 1)]
+
+
+def _blocks(print_column: str, edges: list[int]) -> list[Column]:
+    """The values of the blocks of a fingerprint."""
+    return [F.shiftrightunsigned(F.col(print_column), a).bitwiseAND(F.lit((1 << (b - a)) - 1)).cast("int") for a, b in pairwise(edges)]
+
+
+def _near_masks(width: int) -> list[int]:
+    """All block values with at most NEAR bits set."""
+    return [sum(1 << i for i in c) for k in range(NEAR + 1) for c in combinations(range(width), k)]
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, percent: int = 80, key: str = "doc_id") -> DataFrame:
@@ -183,16 +199,20 @@ def matches(docs: DataFrame, benchmark: DataFrame, percent: int = 80, key: str =
     listed = store(items(benchmark), "items")
     # Windows of equal bags and prints are looked up once, however many documents repeat them.
     distinct = found.groupBy("bag_id", "print", "size").agg(F.first("bag").alias("bag"))
-    numbered = lambda df, cells: df.withColumn("cell", F.explode(F.array(*[F.struct(F.lit(b).alias("b"), v.alias("v")) for b, v in enumerate(cells)])))
-    asking = numbered(distinct.select("bag_id", F.col("print").alias("wp"), "size"), _blocks("wp"))
-    near = numbered(listed.select(F.col("key").alias("item_id"), F.col("print").alias("ip"), F.col("size").alias("size")), _blocks("ip"))
-    near = near.withColumn("mask", F.explode(F.array(*[F.lit(m) for m in _near_masks()]))).select(
-        "item_id", "ip", "size", F.col("cell.b").alias("b"), F.col("cell.v").bitwiseXOR(F.col("mask")).alias("v")
-    )
-    asking = asking.select("bag_id", "wp", "size", F.col("cell.b").alias("b"), F.col("cell.v").alias("v"))
+    edges, bits = block_edges(percent), radius(percent)
+    cell = lambda b, value: F.struct(F.lit(b).alias("b"), value.cast("int").alias("v"))
+    own = F.array(*[cell(b, v) for b, v in enumerate(_blocks("wp", edges))])
+
+    def listed_under(b: int, value: Column) -> Column:
+        masks = F.array(*[F.lit(m) for m in _near_masks(edges[b + 1] - edges[b])])
+        return F.transform(masks, lambda mask: cell(b, value.bitwiseXOR(mask)))
+
+    listing = F.concat(*[listed_under(b, v) for b, v in enumerate(_blocks("ip", edges))])
+    asking = distinct.select("bag_id", F.col("print").alias("wp"), "size").select("*", F.inline(own))
+    near = listed.select(F.col("key").alias("item_id"), F.col("print").alias("ip"), "size").select("*", F.inline(listing))
     candidates = (
         asking.join(near, ["size", "b", "v"])
-        .filter(F.bit_count(F.col("wp").bitwiseXOR(F.col("ip"))) <= RADIUS)
+        .filter(F.bit_count(F.col("wp").bitwiseXOR(F.col("ip"))) <= bits)
         .select("bag_id", "wp", "size", "item_id")
         .distinct()
     )
