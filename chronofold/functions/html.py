@@ -1,4 +1,4 @@
-"""Visible text and links of raw pages, by expressions over whole pages of any size."""
+"""Visible text and links of raw pages of any size: expressions, and Arrow batches for character references."""
 
 from __future__ import annotations
 
@@ -8,26 +8,39 @@ import re
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType
 
 # What is not shown, what parts text, and where a link stands.
 HIDDEN = r"(?is)<!--.*?-->|<script\b.*?</script\s*>|<style\b.*?</style\s*>"
-TAG = r"<[^>]*>"
+TAG = r"<[a-zA-Z/!?][^>]*>"
 LINK = r"(?is)<a\s(?:[^>]*?\s)?href\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))"
-# The character references that are read; the ampersand's comes last.
-REFERENCES = (("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&lt;", "<"), ("&gt;", ">"), ("&nbsp;", " "), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&"))
 BORDER = "\x01"
+# What str.strip() takes for blank.
+BLANK = r"[\s\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+"
 
 
 def resolved(text: Column) -> Column:
-    for name, letter in REFERENCES:
-        text = F.replace(text, F.lit(name), F.lit(letter))
-    return text
+    """All character references read, as html.unescape does; in Arrow batches, as there is no expression for it."""
+
+    def read(texts: pd.Series) -> pd.Series:
+        return texts.map(entities.unescape, na_action="ignore")
+
+    return F.pandas_udf(read, StringType())(text)
+
+
+def all_resolved(texts: Column) -> Column:
+    """`resolved` for an array of texts."""
+
+    def read(arrays: pd.Series) -> pd.Series:
+        return arrays.map(lambda own: [entities.unescape(x) for x in own], na_action="ignore")
+
+    return F.pandas_udf(read, ArrayType(StringType()))(texts)
 
 
 def visible(page: Column) -> Column:
-    """Pieces of text between tags, trimmed and joined by blanks."""
-    pieces = F.split(F.regexp_replace(F.regexp_replace(page, HIDDEN, BORDER), TAG, BORDER), BORDER)
-    trimmed = F.transform(pieces, lambda p: F.regexp_replace(resolved(p), r"^\s+|\s+$", ""))
+    """Pieces of text between tags, trimmed and joined by blanks. No reference reads as a border."""
+    shown = F.regexp_replace(F.regexp_replace(page, HIDDEN, BORDER), TAG, BORDER)
+    trimmed = F.transform(F.split(resolved(shown), BORDER), lambda p: F.regexp_replace(p, f"^{BLANK}|{BLANK}$", ""))
     return F.array_join(F.filter(trimmed, lambda p: p != ""), " ")
 
 
@@ -37,7 +50,7 @@ def targets(page: Column) -> Column:
     groups = [F.regexp_extract_all(shown, F.lit(LINK), F.lit(i)) for i in (1, 2, 3)]
     both = lambda a, b: F.zip_with(a, b, lambda x, y: F.concat(x, y))
     each = both(both(groups[0], groups[1]), groups[2])
-    return F.transform(F.filter(each, lambda x: x != ""), resolved)
+    return all_resolved(F.filter(each, lambda x: x != ""))
 
 
 def extract(pages: DataFrame) -> DataFrame:
@@ -47,9 +60,7 @@ def extract(pages: DataFrame) -> DataFrame:
 
 def register_udfs(spark) -> None:
     """SQL surface: `visible_text(html)` and the table function `extract_links(html)`."""
-    from pyspark.sql.types import StringType
-
-    hidden, tag, link = (re.compile(p) for p in (HIDDEN, TAG, LINK))
+    hidden, tag, link = (re.compile(p, re.ASCII) for p in (HIDDEN, TAG, LINK))
 
     @F.pandas_udf(StringType())
     def visible_text(html: pd.Series) -> pd.Series:
