@@ -42,14 +42,14 @@ def op5_chat(spark: SparkSession, directory: str) -> DataFrame:
     known = store(transcripts.lines_of(transcripts.mark(turns)), "transcript")
     model = transcripts.learn(known.filter(fold("conv_id") != 0))
     decoded = store(transcripts.decode(known.select("conv_id", "at", "line"), model), "decoded")
-    right = decoded.select("conv_id", "at", F.col("role").alias("found")).join(known.select("conv_id", "at", "role"), ["conv_id", "at"])
+    right = transcripts.joined_on(decoded.select("conv_id", "at", F.col("role").alias("found")), known.select("conv_id", "at", "role"), ["conv_id", "at"])
     lines = right.groupBy("conv_id").agg(F.count("*").alias("n_lines"), F.count(F.when(F.col("found") == F.col("role"), 1)).alias("n_right"))
     # A conversation's digest is a sum over its messages, so that no conversation is gathered.
     digest = F.xxhash64("message", "rendered").cast("decimal(38,0)")
     chats = transcripts.messages(decoded).groupBy("conv_id").agg(
         F.count("*").alias("n_messages"), F.sum(F.length("rendered")).alias("n_chars"), F.sum(digest).cast("string").alias("rendered_digest")
     )
-    return lines.join(chats, "conv_id").select("conv_id", (fold("conv_id") == 0).alias("held_out"), "n_lines", "n_right", "n_messages", "n_chars", "rendered_digest")
+    return transcripts.joined_on(lines, chats, ["conv_id"]).select("conv_id", (fold("conv_id") == 0).alias("held_out"), "n_lines", "n_right", "n_messages", "n_chars", "rendered_digest")
 
 
 def op6_near_dedup(spark: SparkSession, directory: str) -> DataFrame:

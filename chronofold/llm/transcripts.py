@@ -12,8 +12,9 @@ handed back down. No task sees more than BLOCK rows of a conversation at once an
 exact Viterbi path.
 
 Cases: null texts are empty lines, null and unknown roles are not learned; a conversation without
-a line has no turn; turns that repeat stay apart by their place; an empty table gives empty results;
-other columns are ignored.
+a line has no turn; rows without a conv_id are one conversation; rows without a turn come first in
+theirs; rows of one turn, repeated ones too, follow each other in the order of their other columns; an
+empty table gives empty results; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -21,11 +22,12 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .shared import store
@@ -84,7 +86,7 @@ def learn(lines: DataFrame) -> Model:
     for r in known.groupBy("role", "begins", symbol("line").alias("symbol")).agg(F.count("*").alias("n")).collect():
         emit[order[r["role"], r["begins"]], r["symbol"]] += r["n"]
     after = known.select("conv_id", (F.col("at") + 1).alias("at"), F.col("role").alias("r1"), F.col("begins").alias("b1"))
-    moves = known.join(after, ["conv_id", "at"], "left").groupBy("r1", "b1", "role", "begins").agg(F.count("*").alias("n"), F.count(F.when(F.col("at") == 0, 1)).alias("first"))
+    moves = joined_on(known, after, ["conv_id", "at"], "left").groupBy("r1", "b1", "role", "begins").agg(F.count("*").alias("n"), F.count(F.when(F.col("at") == 0, 1)).alias("first"))
     for r in moves.collect():
         to = order[r["role"], r["begins"]]
         start[to] += r["first"]
@@ -126,17 +128,28 @@ def best_path(model: Model, symbols: np.ndarray, opening: bool, before: int, las
     return path
 
 
+def joined_on(left: DataFrame, right: DataFrame, names: list[str], how: str = "inner") -> DataFrame:
+    """A join on columns of the same name, which a null meets a null in."""
+    renamed = right.withColumnsRenamed({n: f"right_{n}" for n in names})
+    meets = [F.col(n).eqNullSafe(F.col(f"right_{n}")) for n in names]
+    return left.join(renamed, reduce(Column.__and__, meets), how).drop(*[f"right_{n}" for n in names])
+
+
 def lines_of(turns: DataFrame) -> DataFrame:
     """(conv_id, turn, at, line, ...) for the lines of (conv_id, turn, text); `at` counts a conversation's lines.
 
-    Numbers come from sums over blocks of turns, so that a long conversation is no single group.
+    Numbers come from sums over blocks of turns, so that a long conversation is no single group; the
+    rows without a turn are a block of their own.
     """
     cut = turns.withColumn("pieces", F.split(F.coalesce("text", F.lit("")), "\n", -1)).withColumn("n", F.size("pieces"))
     block = F.floor(F.col("turn") / BLOCK).alias("block")
     sums = cut.groupBy("conv_id", block).agg(F.sum("n").alias("total"))
     outer = sums.select("conv_id", "block", (F.expr("sum(total) over (partition by conv_id order by block)") - F.col("total")).alias("base"))
-    inner = cut.withColumn("block", block).withColumn("seen", F.expr("sum(n) over (partition by conv_id, block order by turn)") - F.col("n"))
-    placed = inner.join(outer, ["conv_id", "block"])
+    # Rows that tie in every column have equal texts, so their order makes no difference.
+    ties = [c for c in turns.columns if c not in ("conv_id", "turn")]
+    before = Window.partitionBy("conv_id", "block").orderBy("turn", *ties).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    inner = cut.withColumn("block", block).withColumn("seen", F.sum("n").over(before) - F.col("n"))
+    placed = joined_on(inner, outer, ["conv_id", "block"])
     line = F.posexplode("pieces").alias("i", "line")
     return placed.select("conv_id", "turn", *[c for c in turns.columns if c not in ("conv_id", "turn", "text")], (F.col("base") + F.col("seen")).alias("head"), line).select(
         "*", (F.col("head") + F.col("i")).alias("at"), (F.col("i") == 0).alias("begins")
@@ -144,8 +157,12 @@ def lines_of(turns: DataFrame) -> DataFrame:
 
 
 def decode(lines: DataFrame, model: Model) -> DataFrame:
-    """(conv_id, at, line, role, begins): the Viterbi path through (conv_id, at, line)."""
-    schema = "conv_id bigint, block bigint, symbols array<int>, bodies array<string>, matrix array<double>"
+    """(conv_id, at, line, role, begins): the Viterbi path through (conv_id, at, line).
+
+    Inside, a conversation goes by its id as a string, empty for none: pandas has no null integers.
+    """
+    lines = lines.withColumn("conv_id", F.coalesce(F.col("conv_id").cast("string"), F.lit("")))
+    schema = "conv_id string, block bigint, symbols array<int>, bodies array<string>, matrix array<double>"
 
     def sum_up(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
@@ -173,7 +190,7 @@ def decode(lines: DataFrame, model: Model) -> DataFrame:
     while most > 0:
         parent = F.floor(F.col("block") / BLOCK)
         grouped = levels[-1].groupBy("conv_id", parent.alias("block_")).agg(F.collect_list(F.struct("block", "matrix")).alias("parts"))
-        levels.append(store(grouped.select("conv_id", F.col("block_").alias("block"), "parts").mapInPandas(fold, "conv_id bigint, block bigint, matrix array<double>"), "folds"))
+        levels.append(store(grouped.select("conv_id", F.col("block_").alias("block"), "parts").mapInPandas(fold, "conv_id string, block bigint, matrix array<double>"), "folds"))
         most //= BLOCK
 
     def top(matrix: pd.Series) -> pd.Series:
@@ -201,7 +218,7 @@ def decode(lines: DataFrame, model: Model) -> DataFrame:
     for level in reversed(levels[:-1]):
         grouped = level.groupBy("conv_id", F.floor(F.col("block") / BLOCK).alias("up")).agg(F.collect_list(F.struct("block", "matrix")).alias("parts"))
         above = settled.select("conv_id", F.col("block").alias("up"), "before", "last")
-        settled = grouped.join(above, ["conv_id", "up"]).select("conv_id", "parts", "before", "last").mapInPandas(split, "conv_id bigint, block bigint, before int, last int")
+        settled = grouped.join(above, ["conv_id", "up"]).select("conv_id", "parts", "before", "last").mapInPandas(split, "conv_id string, block bigint, before int, last int")
 
     def paths(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
@@ -212,7 +229,8 @@ def decode(lines: DataFrame, model: Model) -> DataFrame:
             yield pd.DataFrame(out, columns=["conv_id", "at", "line", "role", "begins"])
 
     joined = blocks.select("conv_id", "block", "symbols", "bodies").join(settled, ["conv_id", "block"])
-    return joined.mapInPandas(paths, "conv_id bigint, at bigint, line string, role string, begins boolean")
+    decoded = joined.mapInPandas(paths, "conv_id string, at bigint, line string, role string, begins boolean")
+    return decoded.withColumn("conv_id", F.nullif("conv_id", F.lit("")).cast("bigint"))
 
 
 def messages(decoded: DataFrame) -> DataFrame:
@@ -224,7 +242,7 @@ def messages(decoded: DataFrame) -> DataFrame:
     sums = decoded.groupBy("conv_id", block.alias("block")).agg(F.sum(F.col("begins").cast("int")).alias("total"))
     base = sums.select("conv_id", "block", (F.expr("sum(total) over (partition by conv_id order by block)") - F.col("total")).alias("base"))
     numbered = decoded.withColumn("block", block).withColumn("own", F.expr("sum(cast(begins as int)) over (partition by conv_id, block order by at)"))
-    placed = numbered.join(base, ["conv_id", "block"]).withColumn("message", F.col("base") + F.col("own") - 1)
+    placed = joined_on(numbered, base, ["conv_id", "block"]).withColumn("message", F.col("base") + F.col("own") - 1)
     text = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("at", "line"))), lambda x: x["line"]), "\n")
     turns = placed.groupBy("conv_id", "message").agg(F.min_by("role", "at").alias("role"), F.min("at").alias("at"), text.alias("text"))
     return turns.withColumn("rendered", F.concat(F.lit("<|"), "role", F.lit("|>\n"), "text", F.lit("\n<|end|>\n")))
