@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontamination, language_id, near_dedup, ngram_quality, rule_ledger, substring_dedup, toxicity, transcripts, warc
+from . import bpe, centroids, decontamination, language_id, near_dedup, ngram_quality, rule_ledger, substring_dedup, toxicity, transcripts, warc
 from .shared import documents, fold, store
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -80,6 +80,10 @@ def op9_language(spark: SparkSession, directory: str) -> DataFrame:
     return found.select("doc_id", (fold() == 0).alias("held_out"), "lang_pred", "score", "accepted")
 
 
+def op11_centroids(spark: SparkSession, directory: str) -> DataFrame:
+    return centroids.clusters(spark.read.parquet(f"{directory}/embeddings.parquet").select("vec_id", "embedding"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_ngram_quality": op1_ngram_quality,
     "op2_rule_ledger": op2_rule_ledger,
@@ -91,12 +95,32 @@ QUERIES: dict[str, Query] = {
     "op8_warc": op8_warc,
     "op9_language": op9_language,
     "op10_decontamination": op10_decontamination,
+    "op11_centroids": op11_centroids,
 }
 
 _RULES = ",\n    ".join(f"({rule}) as r{place}" for place, rule in enumerate(rule_ledger.RULES.values()))
 _BITS = " + ".join(f"case when r{place} then {1 << place} else 0 end" for place in range(len(rule_ledger.RULES)))
 _WORD = r"[^\x20\x09-\x0D]"
 
+_SQUARED = "cast(list_sum([(p[1] - p[2]) * (p[1] - p[2]) for p in list_zip(k.v, c.v)]) as bigint)"
+
+
+def _assigned(place: int) -> str:
+    return f"""a{place} as (
+  select k.row, k.vec_id, k.v, c.c, {_SQUARED} as d from kept k, c{place} c
+  qualify row_number() over (partition by k.row order by d, c.c) = 1
+)"""
+
+
+def _replaced(place: int) -> str:
+    return f"""m{place} as (
+  select c, i, sum(v[i]) as s, count(*) as n from (select c, v, unnest(range(1, 65)) as i from a{place}) group by c, i
+), c{place + 1} as (
+  select c.c, coalesce(m.v, c.v) as v from c{place} c
+  left join (select c, list(cast(floor_mean as bigint) order by i) as v from (select c, i, (s - ((s % n) + n) % n) // n as floor_mean from m{place}) group by c) m on m.c = c.c
+)"""
+
+
 ORACLES: dict[str, str] = {
     "op2_rule_ledger": rf"""
 with texts as (
@@ -142,5 +166,18 @@ select page_id, payload_bytes, payload_digest,
   case when payload_bytes >= 1000 and page_id <> response then 'revisit' else 'response' end as record_type,
   case when payload_bytes >= 1000 and page_id <> response then response end as refers_to
 from groups
+""",
+    "op11_centroids": f"""
+with kept as (
+  select row_number() over () as row, vec_id, [cast(floor(64 * cast(x as double)) as bigint) for x in embedding] as v
+  from embeddings where len(embedding) = 64 and list_bool_and([x is not null and isfinite(x) for x in embedding])
+), c0 as (
+  select row_number() over (order by digest, v) - 1 as c, v from (
+    select sha256('1:' || cast(vec_id as varchar)) as digest, v from kept where vec_id is not null order by 1, 2 limit 16)
+), {_assigned(0)}, {_replaced(0)}, {_assigned(1)}, {_replaced(1)}, {_assigned(2)}, {_replaced(2)}, {_assigned(3)}
+select a.vec_id, cast(a.c as integer) as cluster, a.d as distance,
+  cast(sum(a.d) over (partition by a.c) as bigint) as cluster_inertia, cast(sum(a.d) over () as bigint) as inertia,
+  sha256(array_to_string(c.v, ',')) as centroid_sha256
+from a3 a join c3 c on c.c = a.c
 """,
 }

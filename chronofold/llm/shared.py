@@ -17,7 +17,7 @@ def scratch(spark, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/corpus/{name}-{uuid.uuid4().hex}"
 
 
-def store(df: DataFrame, name: str) -> DataFrame:
+def store(df: DataFrame, name: str, **options: str) -> DataFrame:
     """`df` as a written table: later steps start from its files, whichever executors are lost.
 
     The shuffle files of the write are dropped with it, as nothing reads them again.
@@ -26,7 +26,7 @@ def store(df: DataFrame, name: str) -> DataFrame:
     path, before = scratch(spark, name), spark.conf.get(CLEANUP, "false")
     spark.conf.set(CLEANUP, "true")
     try:
-        df.write.parquet(path)
+        df.write.options(**options).parquet(path)
     finally:
         spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
