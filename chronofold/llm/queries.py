@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import hashlib
+import zlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, centroids, decontamination, language_id, near_dedup, ngram_quality, rule_ledger, substring_dedup, toxicity, transcripts, warc
+from . import bpe, centroids, decontamination, language_id, near_dedup, ngram_quality, periodic, rule_ledger, substring_dedup, toxicity, transcripts, warc
 from .shared import documents, fold, store
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -84,6 +85,20 @@ def op11_centroids(spark: SparkSession, directory: str) -> DataFrame:
     return centroids.clusters(spark.read.parquet(f"{directory}/embeddings.parquet").select("vec_id", "embedding"))
 
 
+def planted_run(doc_id: int | None, words: list[str]) -> list[str]:
+    """The words of a document; in every tenth one, by checksum of the key, the rest after some word repeats a stretch."""
+    check, n = zlib.crc32(str(doc_id).encode()), len(words)
+    if doc_id is None or check % 10 or not n:
+        return words
+    a, parts = check // 10 % n, 3 + check // 10 % 8
+    period = 1 + (n - a) // parts
+    return words[:a] + [words[a + i % period] for i in range(n - a)]
+
+
+def op12_periodic(spark: SparkSession, directory: str) -> DataFrame:
+    return periodic.runs(documents(spark, directory), planted_run)
+
+
 QUERIES: dict[str, Query] = {
     "op1_ngram_quality": op1_ngram_quality,
     "op2_rule_ledger": op2_rule_ledger,
@@ -96,6 +111,7 @@ QUERIES: dict[str, Query] = {
     "op9_language": op9_language,
     "op10_decontamination": op10_decontamination,
     "op11_centroids": op11_centroids,
+    "op12_periodic": op12_periodic,
 }
 
 _RULES = ",\n    ".join(f"({rule}) as r{place}" for place, rule in enumerate(rule_ledger.RULES.values()))
