@@ -12,8 +12,9 @@ where a bucket still holds several components, with its largest; only members of
 still split afterwards are compared across components (never inside one), in salted blocks.
 
 Cases: a null or empty text has an empty set and is linked with nothing; a row without a key is
-linked with nothing and kept; rows that share a key are placed each by its own text; an empty table gives an empty
-result; other columns are ignored.
+linked with nothing and kept; keys may be of any type that has an order; rows that share a key are placed each by its
+own text; a very long text is one row of at most eight times its bytes; an empty table gives an empty result; other
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -102,14 +103,19 @@ def _lists(values: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.arange(0, n * width + 1, width, dtype=np.int32)), pa.array(np.ascontiguousarray(values).view(np.int64).ravel()))
 
 
-def sketches(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = 85) -> DataFrame:
-    """(key, n_shingles, set1, set2, bands, sketch): set1 and set2 are a 128-bit digest of the set."""
+def _digests(flat: np.ndarray, starts: np.ndarray) -> list[np.ndarray]:
+    """Two 64-bit sums over each set, the digest that stands for it."""
+    return [np.add.reduceat(bytekit.mixed(x), starts) for x in (flat ^ U64(0xA5A5), flat + U64(0x5A5A5A))]
+
+
+def sketches(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = 85, carry: str | None = None) -> DataFrame:
+    """(key, carry, n_shingles, set1, set2, bands, sketch): set1 and set2 are a 128-bit digest of the set."""
     n_bands = bands_for(percent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["key", "n_shingles", "set1", "set2", "bands", "sketch"]
+        names = ["key", "carry", "n_shingles", "set1", "set2", "bands", "sketch"]
         for batch in batches:
-            for a, b, flat, offsets in _sets(batch.column(1)):
+            for a, b, flat, offsets in _sets(batch.column(2)):
                 size = np.diff(offsets)
                 full = np.flatnonzero(size)
                 keep = np.concatenate((offsets[full], offsets[-1:]))
@@ -117,30 +123,37 @@ def sketches(docs: DataFrame, key: str = "doc_id", text: str = "text", percent:
                 bands, sketch = np.zeros((b - a, n_bands), U64), np.zeros((b - a, SKETCH_WORDS), U64)
                 if len(full):
                     values = _minhashes(flat, keep)
-                    digests[0, full] = np.add.reduceat(bytekit.mixed(flat ^ U64(0xA5A5)), keep[:-1])
-                    digests[1, full] = np.add.reduceat(bytekit.mixed(flat + U64(0x5A5A5A)), keep[:-1])
+                    digests[:, full] = _digests(flat, keep[:-1])
                     bands[full], sketch[full] = _bands(values, n_bands), _odd_sketches(values)
                 columns = [pa.array(size, pa.int64()), *[pa.array(d.view(np.int64)) for d in digests], _lists(bands), _lists(sketch)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), *columns], names=names)
+                yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(a, b - a) for i in (0, 1)), *columns], names=names)
 
-    rows = docs.select(F.col(key).cast("bigint").alias("key"), F.col(text).alias("text"))
-    return rows.mapInArrow(run, "key bigint, n_shingles bigint, set1 bigint, set2 bigint, bands array<bigint>, sketch array<bigint>")
+    rows = docs.select(F.col(key).alias("key"), (F.col(carry) if carry else F.lit(None).cast("string")).alias("carry"), F.col(text).alias("text"))
+    kinds = [rows.schema[c].dataType.simpleString() for c in ("key", "carry")]
+    return rows.mapInArrow(run, f"key {kinds[0]}, carry {kinds[1]}, n_shingles bigint, set1 bigint, set2 bigint, bands array<bigint>, sketch array<bigint>")
 
 
 def shingle_sets(docs: DataFrame) -> DataFrame:
-    """(key, shingles): the full set of every row of (key, text)."""
+    """(node, shingles) of (node, set1, set2, text): the full set of every text that has this digest."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a, b, flat, offsets in _sets(batch.column(1)):
+            wanted = [batch.column(i).to_numpy(zero_copy_only=False).view(U64) for i in (1, 2)]
+            for a, b, flat, offsets in _sets(batch.column(3)):
+                full = np.flatnonzero(np.diff(offsets))
+                if not len(full):
+                    continue
+                own = _digests(flat, offsets[full])
+                same = np.zeros(b - a, bool)
+                same[full] = (own[0] == wanted[0][a:b][full]) & (own[1] == wanted[1][a:b][full])
                 sets = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(flat.view(np.int64)))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), sets], names=["key", "shingles"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), sets], names=["node", "shingles"]).filter(pa.array(same))
 
-    return docs.mapInArrow(run, "key bigint, shingles array<bigint>")
+    return docs.select("node", "set1", "set2", "text").mapInArrow(run, "node bigint, shingles array<bigint>")
 
 
 def fine_sketches(sets: DataFrame) -> DataFrame:
-    """(key, fine): odd sketches of FINE_SAMPLES samples of (key, shingles)."""
+    """(node, fine): odd sketches of FINE_SAMPLES samples of (node, shingles)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -148,9 +161,9 @@ def fine_sketches(sets: DataFrame) -> DataFrame:
                 part = batch.slice(at, 100)
                 flat = part.column(1).flatten().to_numpy().view(U64)
                 offsets = np.concatenate(([0], np.cumsum([len(x) for x in part.column(1)])))
-                yield pa.RecordBatch.from_arrays([part.column(0), _lists(_odd_sketches(_minhashes(flat, offsets, FINE_SAMPLES), FINE_WORDS))], names=["key", "fine"])
+                yield pa.RecordBatch.from_arrays([part.column(0), _lists(_odd_sketches(_minhashes(flat, offsets, FINE_SAMPLES), FINE_WORDS))], names=["node", "fine"])
 
-    return sets.select("key", "shingles").filter(F.size("shingles") > 0).mapInArrow(run, "key bigint, fine array<bigint>")
+    return sets.select("node", "shingles").filter(F.size("shingles") > 0).mapInArrow(run, "node bigint, fine array<bigint>")
 
 
 def differing(a: str, b: str) -> Column:
@@ -194,75 +207,81 @@ def components(links: DataFrame) -> DataFrame:
 
 def likely(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) that sizes and odd sketches let through. Pairs grow with the corpus and are never broadcast."""
-    left = nodes.select(F.col("key").alias("a"), F.col("sketch").alias("sa"), F.col("n_shingles").alias("na"))
-    right = nodes.select(F.col("key").alias("b"), F.col("sketch").alias("sb"), F.col("n_shingles").alias("nb"))
+    left = nodes.select(F.col("node").alias("a"), F.col("sketch").alias("sa"), F.col("n_shingles").alias("na"))
+    right = nodes.select(F.col("node").alias("b"), F.col("sketch").alias("sb"), F.col("n_shingles").alias("nb"))
     both = pairs.hint("merge").join(left, "a").join(right, "b")
     return both.filter(F.expr(f"100 * least(na, nb) >= {percent} * greatest(na, nb)") & (differing("sa", "sb") <= most_differing(percent))).select("a", "b")
 
 
 def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose full sets are similar enough."""
-    full = pairs.join(sets.select(F.col("key").alias("a"), F.col("shingles").alias("xa")), "a").join(
-        sets.select(F.col("key").alias("b"), F.col("shingles").alias("xb")), "b"
+    full = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("xa")), "a").join(
+        sets.select(F.col("node").alias("b"), F.col("shingles").alias("xb")), "b"
     )
     shared = full.select("a", "b", F.size("xa").alias("na"), F.size("xb").alias("nb"), F.size(F.array_intersect("xa", "xb")).alias("i"))
     return shared.filter(f"100L * i >= {percent}L * (na + nb - i)").select("a", "b").distinct()
 
 
-def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = 85) -> DataFrame:
-    """(key, n_shingles, component_id, kept) for every row of `docs`."""
-    rows = store(sketches(docs, key, text, percent), "sketches")
+def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = 85, carry: str | None = None) -> DataFrame:
+    """(key, n_shingles, component_id, kept) for every row of `docs`; `carry` names one more column to pass on.
+
+    Nodes are distinct sets, numbered where they are written, so keys may be of any type and repeat.
+    """
+    rows = store(sketches(docs, key, text, percent, carry), "sketches")
     whole = rows.filter("n_shingles > 0 and key is not null")
     sets_of = ["set1", "set2", "n_shingles"]
     first = whole.groupBy(*sets_of).agg(F.min("key").alias("key"))
-    nodes = store(whole.join(first, [*sets_of, "key"], "left_semi").dropDuplicates([*sets_of, "key"]).select("key", "n_shingles", "bands", "sketch"), "nodes")
+    one = whole.join(first, [*sets_of, "key"], "left_semi").dropDuplicates([*sets_of, "key"])
+    nodes = store(one.select(F.monotonically_increasing_id().alias("node"), "key", *sets_of, "bands", "sketch"), "nodes")
 
-    buckets = nodes.select("key", F.explode("bands").alias("bucket"))
-    shared = buckets.groupBy("bucket").agg(F.min("key").alias("low"), F.max("key").alias("high"), F.count("*").alias("n")).filter("n > 1")
+    buckets = nodes.select("node", F.explode("bands").alias("bucket"))
+    shared = buckets.groupBy("bucket").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.count("*").alias("n")).filter("n > 1")
     members = store(buckets.join(shared, "bucket"), "members")
-    asked = members.select("key").distinct()
-    wanted = docs.select(F.col(key).cast("bigint").alias("key"), F.col(text).alias("text")).join(asked.hint("merge"), "key", "left_semi")
-    sets = store(shingle_sets(wanted), "sets")
+    asked = nodes.join(members.select("node").distinct(), "node").select("node", "key", "set1", "set2")
+    wanted = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).join(asked.hint("merge"), "key")
+    sets = store(shingle_sets(wanted).dropDuplicates(["node"]), "sets")
 
-    stars = members.filter("key <> low").select(F.col("key").alias("a"), F.col("low").alias("b")).distinct()
+    stars = members.filter("node <> low").select(F.col("node").alias("a"), F.col("low").alias("b")).distinct()
     links = store(confirm(likely(stars, nodes, percent), sets, percent), "links")
     roots = components(links)
 
     def split(roots: DataFrame) -> DataFrame:
         """Members of the buckets that hold several components."""
-        placed = members.filter("n > 2").join(roots, F.col("key") == F.col("node"), "left").withColumn("root", F.coalesce("root", "key"))
+        placed = members.filter("n > 2").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
         mixed = placed.groupBy("bucket").agg(F.min("root").alias("r1"), F.max("root").alias("r2")).filter("r1 <> r2").select("bucket")
-        return placed.join(mixed, "bucket", "left_semi").select("bucket", "key", "root", "high", "n")
+        return placed.join(mixed, "bucket", "left_semi").select("bucket", "node", "root", "high", "n")
 
     parts = split(roots)
-    tops = parts.filter("key = high").select("bucket", F.col("root").alias("top_root"))
-    again = parts.join(tops, "bucket").filter("key <> high and root <> top_root").select(F.col("key").alias("a"), F.col("high").alias("b")).distinct()
+    tops = parts.filter("node = high").select("bucket", F.col("root").alias("top_root"))
+    again = parts.join(tops, "bucket").filter("node <> high and root <> top_root").select(F.col("node").alias("a"), F.col("high").alias("b")).distinct()
     links = store(links.union(confirm(likely(again, nodes, percent), sets, percent)), "links")
     roots = components(links)
 
     # What is still split is compared across components, by sketches fine enough that few pairs in
     # vain reach the full sets.
     parts = store(split(roots), "parts")
-    fine = store(fine_sketches(sets.join(parts.select("key").distinct(), "key", "left_semi")), "fine")
-    rest = parts.join(nodes.select("key", "n_shingles", "bands"), "key").join(fine, "key")
+    fine = store(fine_sketches(sets.join(parts.select("node").distinct(), "node", "left_semi")), "fine")
+    rest = parts.join(nodes.select("node", "n_shingles", "bands"), "node").join(fine, "node")
     blocks = F.greatest(F.lit(1), F.ceil(F.col("n") / BLOCK).cast("int"))
 
     def side(letter: str, block: Column) -> DataFrame:
-        return rest.select("bucket", *[F.col(c).alias(letter + c) for c in ("key", "root", "fine", "n_shingles", "bands")], block.alias("block"))
+        return rest.select("bucket", *[F.col(c).alias(letter + c) for c in ("node", "root", "fine", "n_shingles", "bands")], block.alias("block"))
 
-    one = side("a_", F.pmod(F.xxhash64("key"), blocks))
+    one = side("a_", F.pmod(F.xxhash64("node"), blocks))
     other = side("b_", F.explode(F.sequence(F.lit(0).cast("bigint"), (blocks - 1).cast("bigint"))))
-    meet = (F.col("a_key") < F.col("b_key")) & (F.col("a_root") != F.col("b_root")) & F.expr(f"100 * least(a_n_shingles, b_n_shingles) >= {percent} * greatest(a_n_shingles, b_n_shingles)")
+    meet = (F.col("a_node") < F.col("b_node")) & (F.col("a_root") != F.col("b_root")) & F.expr(f"100 * least(a_n_shingles, b_n_shingles) >= {percent} * greatest(a_n_shingles, b_n_shingles)")
     meet &= differing("a_fine", "b_fine") <= most_differing(percent, FINE_SAMPLES, FINE_WORDS)
     meet &= F.col("x.bucket") == F.get(F.array_intersect("a_bands", "b_bands"), F.lit(0))  # once for all buckets that a pair shares
     across = one.alias("x").join(other.alias("y"), (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.block") == F.col("y.block")) & meet)
-    more = confirm(across.select(F.col("a_key").alias("a"), F.col("b_key").alias("b")).distinct(), sets, percent)
+    more = confirm(across.select(F.col("a_node").alias("a"), F.col("b_node").alias("b")).distinct(), sets, percent)
     roots = components(store(links.union(more), "links"))
 
-    # From nodes back to rows: by the set's digest, and by key for rows that share one.
-    named = first.join(roots, F.col("key") == F.col("node"), "left").select(*sets_of, F.coalesce("root", "key").alias("root"))
-    placed = rows.join(named, sets_of, "left")
-    component = F.when(F.col("key").isNotNull() & (F.col("n_shingles") > 0), F.col("root")).otherwise(F.col("key"))
-    return placed.select(F.col("key").alias(key), "n_shingles", component.alias("component_id")).withColumn(
+    # From nodes back to rows, by the set's digest; a component's key is the smallest of its rows.
+    named = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")).select(*sets_of, "key", "root")
+    least = named.groupBy("root").agg(F.min("key").alias("component"))
+    placed = rows.join(named.join(least, "root").select(*sets_of, "component"), sets_of, "left")
+    component = F.when(F.col("key").isNotNull() & (F.col("n_shingles") > 0), F.col("component")).otherwise(F.col("key"))
+    carried = [F.col("carry").alias(carry)] if carry else []
+    return placed.select(F.col("key").alias(key), *carried, "n_shingles", component.alias("component_id")).withColumn(
         "kept", F.coalesce(F.col(key) == F.col("component_id"), F.lit(True))
     )

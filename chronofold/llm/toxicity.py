@@ -7,10 +7,15 @@ still meets the vectors of its parts. A document scores as its most toxic window
 has a few toxic words among thousands, so its windows start out as unsure positives, and after the
 first epochs only its best-scoring windows stay positive.
 
-The classifier is fitted on a bounded sample of labelled rows: at most SAMPLE_DOCS a class.
-
-Cases: a null text, one without words, scores 0; a model without both classes scores their share; labels
-that are null are not learned; rows that repeat are scored one by one; other columns are ignored.
+The classifier is fitted on a bounded sample of labelled rows: about SAMPLE_DOCS documents a class, of
+LONGEST characters at most, up to SAMPLE_CHARS characters together. The bound is applied in Spark, one
+task trains, and only the logits of the buckets, of fixed size, reach the driver.
+
+Cases: a null text, one without words, scores 0; very long texts are scored whole, but not learned from;
+a model without both classes scores their share; labels that are null are not learned, and of a key with
+both labels only the toxic one; of texts that share a key one is learned; equal texts and scores are
+equal, so there are no ties to break; rows that repeat are scored one by one; an empty table gives an
+empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -21,7 +26,7 @@ from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import bytekit
@@ -32,6 +37,7 @@ GRAMS = (3, 4, 5)
 WINDOW = 16
 SAMPLE_DOCS = 2500  # bound of the training documents of each class
 SAMPLE_CHARS = 3_000_000  # bound of the training text of each class
+LONGEST = 150_000  # characters of a text to learn from: one alone must not use up the bound
 DIMENSIONS = 12
 NEUTRAL = 40  # n-grams without a vector that every window is averaged with: a short one proves less
 FAIR = 6  # what a clean document taken for toxic weighs against the contrary
@@ -111,7 +117,7 @@ def train(texts: list[str], labels: list[int], seed: int = 7) -> Model:
     for a, b in bytekit.slices(np.concatenate(([0], np.cumsum([len(t) for t in texts]))), 1 << 18):
         flat, begin, words = grams(texts[a:b])
         at, size, doc = _split(flat, begin, words)
-        flats.append(flat)
+        flats.append(flat.astype(np.uint16))
         parts.append((at + n_grams, size, doc + a))
         n_grams += len(flat)
     flat = np.concatenate(flats)
@@ -127,9 +133,11 @@ def train(texts: list[str], labels: list[int], seed: int = 7) -> Model:
     w_first, w_second, step = np.zeros(DIMENSIONS + 1), np.zeros(DIMENSIONS + 1), 0
 
     def best_windows() -> tuple[np.ndarray, np.ndarray]:
-        total = np.zeros(len(flat) + 1)
-        np.cumsum((vectors @ weights)[flat], dtype=np.float64, out=total[1:])
-        now = (total[starts + sizes] - total[starts]) / (sizes + NEUTRAL)
+        logits, now = (vectors @ weights).astype(np.float64), np.empty(len(starts))
+        for at in range(0, len(starts), 1 << 14):  # windows lie in the order of their n-grams
+            low, size = starts[at : at + (1 << 14)], sizes[at : at + (1 << 14)]
+            total = np.concatenate(([0.0], np.cumsum(logits[flat[low[0] : (low + size).max()]])))
+            now[at : at + (1 << 14)] = (total[low - low[0] + size] - total[low - low[0]]) / (size + NEUTRAL)
         best = np.full(len(texts), -np.inf)
         np.maximum.at(best, doc, now)
         return now, best
@@ -203,26 +211,39 @@ def scores(model: Model, texts: list[str]) -> np.ndarray:
     return np.where(np.diff(words) > 0, 1 / (1 + np.exp(-np.clip(best + model.bias, -700, 700))), 0.0)
 
 
-def learn(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic") -> Model:
-    """A model from at most SAMPLE_DOCS labelled documents of each class.
+def sample(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic") -> DataFrame:
+    """(h, label, text): at most SAMPLE_CHARS characters of labelled documents of each class.
 
-    Labels are thinned by a hash of the key at rates that their counts give; only the bounded sample
-    is sent to the documents (a broadcast of at most twice SAMPLE_DOCS keys a class) and comes back.
+    Labels are thinned by a hash of the key at rates that their counts give, so at most 4 * SAMPLE_DOCS
+    keys are sent to the documents. Lengths are summed in the order of the texts' hashes, over the
+    sample only.
     """
-    marked = labels.filter(F.col(label).isin(0, 1) & F.col(key).isNotNull()).select(key, F.col(label).cast("int").alias("label"))
+    marked = labels.filter(F.col(label).isin(0, 1) & F.col(key).isNotNull()).groupBy(F.col(key).alias("key")).agg(F.max(F.col(label).cast("int")).alias("label"))
     counts = {r["label"]: r["n"] for r in marked.groupBy("label").agg(F.count("*").alias("n")).collect()}
-    draw = F.pmod(F.xxhash64(key), F.lit(1_000_000)) / 1e6
+    draw = F.pmod(F.xxhash64("key"), F.lit(1_000_000)) / 1e6
     rate = F.when(F.col("label") == 1, min(1.0, SAMPLE_DOCS / max(1, counts.get(1, 0)))).otherwise(min(1.0, SAMPLE_DOCS / max(1, counts.get(0, 0))))
-    sample = marked.filter(draw < rate).orderBy(F.xxhash64(key)).limit(4 * SAMPLE_DOCS)
-    rows = docs.select(key, F.col(text).alias("text")).join(F.broadcast(sample), key).filter(F.col("text").isNotNull()).select(F.xxhash64("text").alias("h"), "label", "text")
-    chosen: dict[int, int] = {0: 0, 1: 0}
-    texts, marks = [], []
-    for row in sorted(rows.collect(), key=lambda r: (r["h"], r["label"])):
-        if chosen[row["label"]] + len(row["text"]) <= SAMPLE_CHARS:
-            chosen[row["label"]] += len(row["text"])
-            texts.append(row["text"])
-            marks.append(row["label"])
-    return train(texts, marks)
+    keys = marked.filter(draw < rate).orderBy(F.xxhash64("key")).limit(4 * SAMPLE_DOCS)
+    texts = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).filter(F.length("text") <= LONGEST)
+    found = texts.join(F.broadcast(keys), "key").select("key", "label", F.xxhash64("text").alias("h"), F.length("text").alias("n"))
+    one = found.groupBy("key", "label").agg(F.min(F.struct("h", "n")).alias("one")).select("key", "label", "one.*")
+    order = Window.partitionBy("label").orderBy("h", "key").rowsBetween(Window.unboundedPreceding, 0)
+    chosen = one.withColumn("total", F.sum("n").over(order)).filter(F.col("total") <= SAMPLE_CHARS).select("key", "label", "h")
+    learned = texts.withColumn("h", F.xxhash64("text")).join(F.broadcast(chosen), ["key", "h"])
+    return learned.groupBy("key", "h", "label").agg(F.min("text").alias("text")).select("h", "label", "text")
+
+
+def learn(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic") -> Model:
+    """A model from the bounded sample, trained in one task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = sorted((row for batch in batches for row in zip(*(c.to_pylist() for c in batch.columns), strict=True)), key=lambda r: r[:2])
+        model = train([r[2] for r in held], [r[1] for r in held])
+        yield pa.RecordBatch.from_arrays([pa.array([model.bucket_logits.astype(np.float32).tobytes()], pa.binary()), pa.array([model.bias])], names=["logits", "bias"])
+
+    trained = sample(docs, labels, key, text, label).coalesce(1).mapInArrow(run, "logits binary, bias double").first()
+    if trained is None:
+        return Model.constant(0.0)
+    return Model(np.frombuffer(bytes(trained["logits"]), np.float32).astype(np.float64), trained["bias"])
 
 
 def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
