@@ -3,8 +3,10 @@
 A stage takes (spark, docs, sf_dir) and gives the columns of documents back; the last one gives
 token rows. Between stages the rows are written and read again, so a lost executor costs one stage at
 most. Cases follow the operators: null and empty texts pass every stage (they are neither toxic nor
-near copies nor contaminated), rows that repeat are treated each, an empty table stays empty, and
-columns beyond those of documents are dropped at the first stage.
+near copies nor contaminated), rows that repeat are treated each (of equal keys and texts with a word,
+near_dedup keeps one; of other texts under their key none goes with them), a very long text is
+treated whole, an empty table stays empty, and columns beyond those of documents are dropped at the first
+stage.
 """
 
 from __future__ import annotations
@@ -21,9 +23,9 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 NEAR_PERCENT = 80  # similarity of word shingles from which the near_dedup stage takes two documents for copies
 
 
-def _without(docs: DataFrame, keys: DataFrame) -> DataFrame:
-    """Rows whose doc_id is not among `keys`; both grow with the corpus, so neither is broadcast."""
-    return docs.join(keys.hint("merge"), "doc_id", "left_anti").select(*COLUMNS)
+def _without(docs: DataFrame, keys: DataFrame, *names: str) -> DataFrame:
+    """Rows whose `names` are not among `keys`; both grow with the corpus, so neither is broadcast."""
+    return docs.join(keys.hint("merge"), list(names), "left_anti")
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,9 +36,24 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies, from NEAR_PERCENT on, stays."""
-    groups = near_dedup.groups(docs.select("doc_id", "text"), percent=NEAR_PERCENT)
-    return _without(docs, store(groups.filter("not kept").select("doc_id"), "copies"))
+    """One document of each group of near copies, from NEAR_PERCENT on, stays: the one with the smallest key and digest.
+
+    Rows are told apart by key and digest of the text, and of rows equal in both one stays.
+    """
+    docs = docs.select(*COLUMNS, F.sha2("text", 256).alias("digest"))
+    groups = near_dedup.groups(docs.select("doc_id", "text", "digest"), percent=NEAR_PERCENT, carry="digest")
+    linked = groups.filter("n_shingles > 0 and doc_id is not null").groupBy("component_id", "doc_id", "digest").agg(F.count("*").alias("n"))
+    placed = store(linked, "copies")
+    stays = placed.groupBy("component_id").agg(F.min(F.struct("doc_id", "digest")).alias("stays"))
+    fate = placed.join(stays, "component_id").withColumn("goes", F.struct("doc_id", "digest") != F.col("stays"))
+    fate = store(fate.filter("goes or n > 1").select("doc_id", "digest", "goes"), "fate")
+    rest = _without(docs, fate.filter("goes").select("doc_id", "digest"), "doc_id", "digest")
+    twice = fate.filter("not goes").select("doc_id", "digest")
+    if not twice.head(1):
+        return rest.select(*COLUMNS)
+    others = F.struct("lang", "source", "n_chars", "text")
+    one = rest.join(twice.hint("merge"), ["doc_id", "digest"], "left_semi").groupBy("doc_id", "digest").agg(F.min(others).alias("row"))
+    return _without(rest, twice, "doc_id", "digest").select(*COLUMNS).union(one.select("doc_id", "row.text", "row.lang", "row.source", "row.n_chars"))
 
 
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,7 +70,7 @@ def drop_benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -
     """Documents with a passage of the benchmark go."""
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", "text")
     found = decontamination.matches(docs.select("doc_id", "text"), benchmark)
-    return _without(docs, store(found.select("doc_id").distinct(), "leaks"))
+    return _without(docs, store(found.select("doc_id").distinct(), "leaks"), "doc_id").select(*COLUMNS)
 
 
 def to_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
