@@ -41,7 +41,7 @@ def test_toxic_documents_go_and_clean_ones_stay(spark, stages):
 
 def test_one_of_each_group_stays(stages):
     before, after = stages["near_dedup"]
-    kept = keys(near_dedup.groups(before).filter("kept"))
+    kept = keys(near_dedup.groups(before, percent=corpus_pipeline.NEAR_PERCENT).filter("kept"))
     assert keys(after) == kept and len(kept) < before.count()
 
 
