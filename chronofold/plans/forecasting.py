@@ -228,8 +228,8 @@ feat as (
 FEATS = (MATCH, TEAM_HISTORY)
 
 
-def _pivot_sql(*cols: str) -> str:
-    parts = [f"max(case when side='{s}' then round({c},7) end) as {s}_{c}" for s in ("home", "away") for c in cols]
+def _pivot_sql(*cols: str, value: str = "round({},7)") -> str:
+    parts = [f"max(case when side='{s}' then {value.format(c)} end) as {s}_{c}" for s in ("home", "away") for c in cols]
     return f"select match_id, {', '.join(parts)} from feat group by match_id"
 
 
@@ -275,6 +275,7 @@ def feat_missing(t: Tables) -> DataFrame:
 
 EXTERNAL_SQL = ", ".join(f"cast(null as double) as {e}, 1e0 as {e}_missing" for e in features.EXTERNAL)
 WIDE = _pivot_sql(*features.SIDE_FEATURES)
+EXACT = _pivot_sql(*features.SIDE_FEATURES, value="{}")
 
 
 def wide_features(t: Tables) -> DataFrame:

@@ -9,7 +9,7 @@ from ..functions import scores
 from ..operators import ensemble, features, forecast, models, scoring
 from ..session import cut_lineage
 from . import views
-from .forecasting import FEATS, FLOOR, WIDE, P, rated
+from .forecasting import EXACT, FEATS, FLOOR, WIDE, P, rated
 from .registry import query, r
 from .sqlviews import GRID, MATCH, POSTERIOR, RATES, VENUE, league, scored, with_
 from .views import RECONSTRUCTED, Tables
@@ -64,6 +64,26 @@ def elo_walk_forward(t: Tables) -> DataFrame:
     return joined.select("match_id", "competition_id", *[F.round(p, 7).alias(c) for p, c in zip(models.elo_probabilities(F.col("chance"), draw), P)])
 
 
+KEPT = [n for n in models.KNN_FEATURES if n not in models.ABLATED]
+
+
+def neighbours_sql(names, name: str) -> str:
+    """CTEs up to `name` (match_id, p_*): every usable earlier result is measured by a plain range join."""
+    moments = ", ".join(f"coalesce(avg(h.{n}), 0e0) as m_{n}, case when count(h.{n}) = 0 then 1e0 else greatest(1e-6, sqrt(greatest(0e0, avg(h.{n} * h.{n}) - avg(h.{n}) * avg(h.{n})))) end as w_{n}" for n in names)
+    squares = " + ".join(f"pow((coalesce(h.{n}, m_{n}) - coalesce(t.{n}, m_{n})) / w_{n}, 2)" for n in names)
+    return f"""
+{name}_m as (select t.match_id, {moments} from value t left join value h on h.competition_id = t.competition_id and h.known_at <= t.kickoff_at group by t.match_id),
+{name}_n as (select t.match_id, h.outcome from value t join {name}_m m using (match_id) join value h on h.competition_id = t.competition_id and h.known_at <= t.kickoff_at
+  qualify row_number() over (partition by t.match_id order by round({squares}, 8), h.match_id) <= 25),
+{name} as (select match_id, (count(*) filter (n.outcome = 'HOME') + 1e0) / (count(n.outcome) + 3e0) as p_home, (count(*) filter (n.outcome = 'DRAW') + 1e0) / (count(n.outcome) + 3e0) as p_draw,
+  (count(*) filter (n.outcome = 'AWAY') + 1e0) / (count(n.outcome) + 3e0) as p_away from v_match left join {name}_n n using (match_id) group by match_id)"""
+
+
+VALUE = f"""
+value as (select f.*, m.competition_id, m.kickoff_at, m.outcome, case when m.available_at is not null then greatest(m.available_at, m.completed_at + interval '1' microsecond) end as known_at from ({EXACT}) f join v_match m using (match_id))"""
+KNN_ROUNDED = "select match_id, round(p_home,7) as p_home, round(p_draw,7) as p_draw, round(p_away,7) as p_away from "
+
+
 def _knn(t: Tables, names) -> DataFrame:
     m = views.matches(t)
     frame = cut_lineage(features.feature_frame(m, m, RECONSTRUCTED))
@@ -72,14 +92,14 @@ def _knn(t: Tables, names) -> DataFrame:
     return out.select("match_id", *[r(c, 7) for c in P])
 
 
-@query("knn_forecast")
+@query("knn_forecast", with_(*FEATS, VALUE, neighbours_sql(models.KNN_FEATURES, "knn")) + KNN_ROUNDED + "knn")
 def knn_forecast(t: Tables) -> DataFrame:
     return _knn(t, models.KNN_FEATURES)
 
 
-@query("knn_ablation")
+@query("knn_ablation", with_(*FEATS, VALUE, neighbours_sql(KEPT, "knn")) + KNN_ROUNDED + "knn")
 def knn_ablation(t: Tables) -> DataFrame:
-    return _knn(t, [n for n in models.KNN_FEATURES if n not in models.ABLATED])
+    return _knn(t, KEPT)
 
 
 @forecast.register_model("LEAGUE_STRONG_PRIOR")
@@ -183,14 +203,17 @@ def walk_forward_models(t: Tables) -> DataFrame:
     return out.withColumns({c: F.round(c, 6) for c in cols})
 
 
-@query("ablation_delta")
+@query("ablation_delta", with_(*FEATS, VALUE, neighbours_sql(models.KNN_FEATURES, "knn"), neighbours_sql(KEPT, "cut")) + """,
+loss as (select competition_id, -ln(case outcome when 'HOME' then k.p_home when 'DRAW' then k.p_draw else k.p_away end) as a,
+  -ln(case outcome when 'HOME' then c.p_home when 'DRAW' then c.p_draw else c.p_away end) as b from v_match join knn k using (match_id) join cut c using (match_id))
+select competition_id, round(avg(b) - avg(a), 6) as log_loss_delta from loss group by competition_id""")
 def ablation_delta(t: Tables) -> DataFrame:
     """Mean log-loss change of the neighbour model when form, rest and congestion are removed."""
     m = views.matches(t)
     frame = cut_lineage(features.feature_frame(m, m, RECONSTRUCTED))
     label = m.select("match_id", "competition_id", scores.outcome(F.col("home_goals"), F.col("away_goals")).alias("outcome"))
     runs = None
-    for name, used in (("KNN", models.KNN_FEATURES), (ensemble.ABLATION, [n for n in models.KNN_FEATURES if n not in models.ABLATED])):
+    for name, used in (("KNN", models.KNN_FEATURES), (ensemble.ABLATION, KEPT)):
         one = models.knn_probabilities(models.nearest(frame, m, RECONSTRUCTED, used), frame.select("match_id")).withColumn("model_id", F.lit(name))
         runs = one if runs is None else runs.unionByName(one)
     losses = scoring.score(runs.join(label, "match_id")).groupBy("competition_id").pivot("model_id", ["KNN", ensemble.ABLATION]).agg(F.avg("log_loss"))
