@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from . import temporal
+from . import running, temporal
 
 SUBJECT = ("entity", "predicate")
 STRICTLY_BEFORE = "STRICTLY_BEFORE"
@@ -29,50 +31,84 @@ def conflict_intervals(versions: DataFrame, conflicts: DataFrame) -> DataFrame:
     return conflicts.join(ends[0], "left_id").join(ends[1], "right_id")
 
 
+KEYS = [*SUBJECT, "scope", "strict"]
+EVERY_SOURCE = "*"
+
+
+def _scope(source: str) -> Column:
+    return F.concat(F.lit("="), F.col(source))
+
+
+def _from(c: str) -> Column:
+    """First instant of a cursor that a clock permits: the clock itself, or the next one where it must lie strictly before."""
+    return F.when(F.col("strict"), F.col(c) + F.expr(temporal.TICK)).otherwise(F.col(c))
+
+
+def _events(rows: DataFrame, begin: Column, end: Column, **counts: Column) -> DataFrame:
+    """+1 and -1 events of intervals [begin, end) in `counts`; an open end has no event, an empty interval none at all."""
+    cut = rows.withColumns({"_begin": begin, "_end": end}).filter(F.col("_begin").isNotNull() & (F.col("_end").isNull() | (F.col("_begin") < F.col("_end"))))
+    ends = F.filter(F.array(F.struct(F.col("_begin").alias("t"), F.lit(1).alias("s")), F.struct(F.col("_end").alias("t"), F.lit(-1).alias("s"))), lambda e: e["t"].isNotNull())
+    signed = cut.withColumn("_e", F.explode(ends))
+    return signed.select(*KEYS, *[c for c in ("claim",) if c in rows.columns], F.col("_e.t").alias("t"), *[(F.col("_e.s") * v.cast("int")).alias(k) for k, v in counts.items()])
+
+
+def _claims(rows: DataFrame) -> DataFrame:
+    """Events of the number of distinct claims: +1 where a claim's first holder comes, -1 where its last one goes."""
+    held = [*KEYS, "claim"]
+    moved = rows.groupBy(*held, "t").agg(F.sum("n").alias("moved"))
+    totals = running.totals_at(moved, moved.select(*held, "t"), held, "t", sums=["moved"]).withColumnRenamed("moved", "n")
+    known, before = F.col("n") > 0, F.col("n") - F.col("moved") > 0
+    turned = totals.join(moved, [*held, "t"]).withColumn("claims", known.cast("int") - before.cast("int"))
+    return turned.filter("claims <> 0").select(*KEYS, "t", "claims")
+
+
+COUNTS = ("arrived", "arrived_before", "superseded", "active", "current", "suspicious", "unknown", "claims", "edges")
+
+
 def select(requests: DataFrame, versions: DataFrame, supersessions: DataFrame, conflicts: DataFrame) -> DataFrame:
     """Status and reasons of every request.
 
     requests: request_id, entity, predicate, source (null = all), at, boundary.
-    A request meets the versions of its own subject only, and everything it needs from them is
-    a mergeable aggregate (flags, minima, maxima), so nothing is collected per subject.
+    A sweep over time: a version counts while it is active and while it is current, a claim while some
+    current version holds it, a conflict edge while both its ends are current. All are signed events,
+    once for each scope (its source, and every source) and boundary, and a request reads running totals at
+    its cursor. Requests never meet versions, so a hot subject costs its events, not their product.
     """
     dated = with_replacement(versions, supersessions)
-    at, strict = F.col("at"), F.col("boundary") == STRICTLY_BEFORE
-
-    def permits(c: str) -> Column:
-        return F.coalesce((F.col(c) < at) | (~strict & (F.col(c) == at)), F.lit(False))
-
-    def alive(expires: str) -> Column:
-        return F.col(expires).isNull() | (at < F.col(expires))
-
-    met = requests.join(dated.withColumnRenamed("source", "_source"), list(SUBJECT)).filter(
-        F.col("source").isNull() | (F.col("source") == F.col("_source")))
-    available = permits("available_at")
-    active = available & ~permits("replaced_at")
-    current = active & alive("expires_at")
-    claim = F.concat_ws("\u001f", "value_type", "value", "claim_kind")
-    flags = {
-        "_matching": F.lit(True), "_future": F.col("available_at") > at, "_exact": strict & (F.col("available_at") == at),
-        "_superseded": permits("replaced_at"), "_active": active, "_expired": active & ~current, "_current": current,
-        "_suspicious": current & (F.col("status") == "SUSPICIOUS"), "_unknown": current & (F.col("status") == "UNKNOWN"),
-    }
-    folded = met.groupBy("request_id").agg(
-        *[F.sum(v.cast("bigint")).alias(k) for k, v in flags.items()],
-        F.min(F.when(current, claim)).alias("_lo"), F.max(F.when(current, claim)).alias("_hi"),
-    )
+    scopes = F.explode(F.array(F.lit(EVERY_SOURCE), _scope("source"))).alias("scope")
+    claim = F.concat_ws("\u001f", "value_type", "value", "claim_kind").alias("claim")
+    spread = dated.select(*SUBJECT, scopes, "available_at", "replaced_at", "expires_at", "status", claim).withColumn("strict", F.explode(F.array(F.lit(False), F.lit(True))))
+    one, never = F.lit(1), F.lit(None).cast("timestamp_ntz")
+    available, replaced = _from("available_at"), _from("replaced_at")
+    current = _events(spread, available, F.least(replaced, F.col("expires_at")), current=one, suspicious=F.col("status").eqNullSafe("SUSPICIOUS"), unknown=F.col("status").eqNullSafe("UNKNOWN"))
+    parts = [
+        _events(spread, F.col("available_at"), never, arrived=one),
+        _events(spread, available, never, arrived_before=one),
+        _events(spread, replaced, never, superseded=one),
+        _events(spread, available, replaced, active=one),
+        current.drop("claim"),
+        _claims(_events(spread, available, F.least(replaced, F.col("expires_at")), n=one)),
+    ]
     edges = conflict_intervals(dated, conflicts.withColumnRenamed("available_at", "edge_at"))
-    pair = requests.join(edges, list(SUBJECT)).filter(permits("edge_at"))
-    for side in ("left", "right"):
-        pair = pair.filter(
-            (F.col("source").isNull() | (F.col("source") == F.col(f"{side}_source")))
-            & permits(f"{side}_from") & ~permits(f"{side}_replaced") & alive(f"{side}_expires"))
-    bitten = pair.select("request_id", F.lit(True).alias("_edge")).dropDuplicates(["request_id"])
-    joined = requests.join(folded, "request_id", "left").join(bitten, "request_id", "left")
+    same = F.when(F.col("left_source") == F.col("right_source"), _scope("left_source"))
+    met = edges.select("*", F.explode(F.array_compact(F.array(F.lit(EVERY_SOURCE), same))).alias("scope")).withColumn("strict", F.explode(F.array(F.lit(False), F.lit(True))))
+    clocks = [_from(c) for c in ("edge_at", "left_from", "right_from")]
+    begin = F.when(clocks[0].isNotNull() & clocks[1].isNotNull() & clocks[2].isNotNull(), F.greatest(*clocks))
+    parts.append(_events(met, begin, F.least(_from("left_replaced"), _from("right_replaced"), F.col("left_expires"), F.col("right_expires")), edges=one))
+    events = reduce(lambda x, y: x.unionByName(y, allowMissingColumns=True), [p.drop("claim") for p in parts])
+
+    asked = requests.withColumns({"scope": F.coalesce(_scope("source"), F.lit(EVERY_SOURCE)), "strict": F.coalesce(F.col("boundary") == STRICTLY_BEFORE, F.lit(False)), "t": F.col("at")})
+    totals = running.totals_at(events, asked.select(*KEYS, "t"), KEYS, "t", sums=COUNTS)
+    whole = dated.select(*SUBJECT, scopes, "available_at").groupBy(*SUBJECT, "scope").agg(F.count("*").alias("_matching"), F.max("available_at").alias("_last"))
+    joined = asked.join(totals, [*KEYS, "t"], "left").join(whole, [*SUBJECT, "scope"], "left").withColumns({
+        "_future": (F.col("_last") > F.col("at")).cast("int"), "_exact": F.when(F.col("strict"), F.col("arrived") - F.col("arrived_before")), "_superseded": F.col("superseded"),
+        "_active": F.col("active"), "_current": F.col("current"), "_expired": F.col("active") - F.col("current"), "_suspicious": F.col("suspicious"), "_unknown": F.col("unknown")})
+    strict = F.col("boundary") == STRICTLY_BEFORE
 
     def some(flag: str) -> Column:
         return F.coalesce(F.col(flag) > 0, F.lit(False))
 
-    conflicting = F.coalesce(F.col("_edge"), F.lit(False)) | F.coalesce(F.col("_lo") != F.col("_hi"), F.lit(False))
+    conflicting = F.coalesce((F.col("edges") > 0) | (F.col("claims") > 1), F.lit(False))
     status = (
         F.when(~some("_current") & some("_active"), "STALE").when(~some("_current"), "MISSING")
         .when(conflicting, "CONFLICTING").when(some("_suspicious"), "SUSPICIOUS").when(some("_unknown"), "UNKNOWN").otherwise("KNOWN")

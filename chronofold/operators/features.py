@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from . import forecast, running, temporal
+from . import forecast
 
 SIDE_FEATURES = ("form", "goals_for", "goals_against", "venue_goals_for", "venue_goals_against",
                  "rest_days", "congestion_14d", "history_missing")
@@ -15,6 +15,7 @@ NAMES = tuple(f"{s}_{f}" for s in ("home", "away") for f in SIDE_FEATURES) + tup
     n for e in EXTERNAL for n in (e, f"{e}_missing")
 )
 FORM_LENGTH = 5
+FAN, LEVELS = 4, 8  # of the tree over days since 1970: 65,536 days
 
 
 def _ratio(total: Column, n: Column) -> Column:
@@ -25,50 +26,63 @@ def days_between(later: Column, earlier: Column) -> Column:
     return F.timestamp_diff("MICROSECOND", earlier, later) / F.lit(86400e6)
 
 
+def _days(at: str) -> Column:
+    return F.datediff(F.col(at), F.lit("1970-01-01"))
+
+
+def _cover(low: Column, high: Column) -> Column:
+    """Nodes (level, place) of a tree over days, FAN children each, that together are [low, high).
+
+    A node belongs to the cover if it lies inside and its parent doesn't: at most 2 * (FAN - 1) a level.
+    """
+    def inside(level: int) -> tuple[Column, Column]:
+        return F.ceil(low / FAN**level), F.floor(high / FAN**level)
+
+    nodes = []
+    for level in range(LEVELS):
+        (first, end), (first_up, end_up) = inside(level), inside(level + 1)
+        places = F.when(first < end, F.array_distinct(F.concat(
+            F.sequence(first, F.least(end, first + FAN - 1) - 1), F.sequence(F.greatest(first, end - (FAN - 1)), end - 1)))).otherwise(F.array().cast("array<bigint>"))
+        own = F.filter(places, lambda x: (F.floor(x / FAN) < first_up) | (F.floor(x / FAN) >= end_up))  # noqa: B023
+        nodes.append(F.transform(own, lambda x: F.struct(F.lit(level).alias("level"), x.alias("place"))))  # noqa: B023
+    return F.concat(*nodes)
+
+
 def last_results(targets: DataFrame, results: DataFrame, mode: str, length: int = FORM_LENGTH) -> DataFrame:
     """The last `length` usable results of both teams of every target, one row each.
 
-    A team's results are numbered by completion.  All but the most recently completed ones are
-    certainly usable: if D is the team's longest publication delay, everything completed before
-    T - D is.  So the candidates are the `length` ordinals before that point and the few after
-    it, found by equi-join on the ordinal; usability then decides and a tiny window keeps five.
+    A version is usable for an interval of time, from its knowledge to its replacement. The whole days
+    of it are covered by a few nodes of a tree over days, and a node keeps only its `length` most
+    recently completed versions, a state that merges. A day's state is the merge of the nodes above it.
+    What becomes usable or stops within the target's own day is compared directly. So neither long
+    publication delays nor removals add candidates.
     """
-    signed = forecast.signed_results(results, mode).filter(F.col("sign") == 1)
-    seen = forecast.team_rows(signed)
     key = ["competition_id", "team"]
-    facts = seen.select(*key, "match_id", "completed_at").dropDuplicates([*key, "match_id"]) if "version" in results.columns \
-        else seen.select(*key, "match_id", "completed_at")
-    numbered = running.ordinal(facts, key, ["completed_at", "match_id"], running.calendar_slice("completed_at", forecast.SLICE))
-    usable = seen.select(*key, "match_id", "completed_at", "at", "valid_to", "gf", "ga").join(
-        numbered.select(*key, "match_id", "ord"), [*key, "match_id"]
-    )
-    delay = seen.groupBy(*key).agg(
-        F.max(F.timestamp_diff("SECOND", F.col("completed_at"), F.col("at")) + 1).alias("_delay")
-    )
-    decided = forecast.decide(targets)
-    asked = decided.select(
+    seen = forecast.team_rows(forecast.signed_results(results, mode).filter(F.col("sign") == 1))
+    row = F.struct("completed_at", "match_id", "at", "gf", "ga")
+    versions = seen.select(*key, row.alias("row"), "at", "valid_to", _days("at").alias("_from"), _days("valid_to").alias("_to"))
+
+    nodes = versions.select(*key, "row", F.inline(_cover(F.col("_from") + 1, F.coalesce("_to", F.lit(FAN**LEVELS)))))
+    newest = Window.partitionBy(*key, "level", "place").orderBy(F.col("row.completed_at").desc(), F.col("row.match_id").desc())
+    states = nodes.withColumn("_r", F.row_number().over(newest)).filter(F.col("_r") <= length).groupBy(*key, "level", "place").agg(F.collect_list("row").alias("rows"))
+
+    asked = forecast.decide(targets).select(
         "match_id", "competition_id", "decision_at",
         F.explode(F.array(F.struct(F.lit("home").alias("side"), F.col("home_id").alias("team")),
                           F.struct(F.lit("away").alias("side"), F.col("away_id").alias("team")))).alias("_s"),
-    ).select("match_id", "competition_id", "decision_at", "_s.*").join(delay, key)
-    asked = asked.withColumn("_sure", F.col("decision_at") - F.make_dt_interval(secs=F.col("_delay")))
-    completions = numbered.select(*key, (F.col("completed_at") + F.expr(temporal.TICK)).alias("at"), F.col("ord"))
-    counted = running.totals_at(
-        completions, asked.select(*key, F.col("decision_at").alias("at")).unionByName(asked.select(*key, F.col("_sure").alias("at"))),
-        key, "at", maxima=["ord"], unit=forecast.SLICE,
-    )
-    span = asked.join(counted.select(*key, F.col("at").alias("decision_at"), F.coalesce("ord", F.lit(0)).alias("_hi")), [*key, "decision_at"]) \
-        .join(counted.select(*key, F.col("at").alias("_sure"), F.coalesce("ord", F.lit(0)).alias("_lo")), [*key, "_sure"])
-    first = F.greatest(F.lit(1), F.col("_lo") - (length - 1))
-    candidates = span.filter(F.col("_hi") > 0).select(
-        F.col("match_id").alias("target_id"), *key, "side", "decision_at",
-        F.explode(F.sequence(first, F.col("_hi"))).alias("ord"),
-    )
-    hit = candidates.join(usable, [*key, "ord"]).filter(
+    ).select(F.col("match_id").alias("target_id"), "competition_id", "decision_at", "_s.*", _days("decision_at").alias("day"))
+    above = asked.select(*key, "day").distinct().select(*key, "day", F.posexplode(F.array(*[F.floor(F.col("day") / FAN**n) for n in range(LEVELS)])).alias("level", "place"))
+    merged = above.join(states, [*key, "level", "place"]).groupBy(*key, "day").agg(F.flatten(F.collect_list("rows")).alias("rows"))
+    latest = merged.select(*key, "day", F.slice(F.sort_array("rows", asc=False), 1, length).alias("rows"))
+
+    same_day = versions.select(*key, F.explode(F.array_distinct(F.array_compact(F.array("_from", "_to")))).alias("day"), "row", "at", "valid_to")
+    hit = asked.join(same_day, [*key, "day"]).filter(
         (F.col("at") <= F.col("decision_at")) & (F.col("valid_to").isNull() | (F.col("decision_at") < F.col("valid_to")))
-    )
-    newest = Window.partitionBy("target_id", "side").orderBy(F.col("ord").desc())
-    return hit.withColumn("_rank", F.row_number().over(newest)).filter(F.col("_rank") <= length).drop("_rank")
+    ).select("target_id", "side", *key, "row")
+    before = asked.join(latest, [*key, "day"]).select("target_id", "side", *key, F.explode("rows").alias("row"))
+    order = Window.partitionBy("target_id", "side").orderBy(F.col("row.completed_at").desc(), F.col("row.match_id").desc())
+    found = before.unionByName(hit).withColumn("_rank", F.row_number().over(order)).filter(F.col("_rank") <= length)
+    return found.select("target_id", "side", *key, "row.*")
 
 
 def form(targets: DataFrame, results: DataFrame, mode: str) -> DataFrame:
