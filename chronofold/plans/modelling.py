@@ -20,18 +20,77 @@ def fits(t: Tables) -> DataFrame:
     return models.fitted_rates(m, m, RECONSTRUCTED)
 
 
-@query("dixon_coles_rho")
+# Every target's history as counts by pair, by a plain range join; its rates and the likelihood at 31 values of rho.
+PAIRS = """
+pc as (
+  select t.match_id, h.home_id, h.away_id, count(*) as n, sum(h.home_goals) as hg, sum(h.away_goals) as ag,
+    count(*) filter (h.home_goals = 0 and h.away_goals = 0) as n00, count(*) filter (h.home_goals = 0 and h.away_goals = 1) as n01,
+    count(*) filter (h.home_goals = 1 and h.away_goals = 0) as n10, count(*) filter (h.home_goals = 1 and h.away_goals = 1) as n11
+  from v_match t join v_match h on h.competition_id = t.competition_id and h.completed_at < t.kickoff_at and h.available_at <= t.kickoff_at group by all)"""
+RHO = """
+lg as (select match_id, (sum(hg) + 7.5e0) / (sum(n) + 5e0) as mh, (sum(ag) + 6e0) / (sum(n) + 5e0) as ma from pc group by match_id),
+hh as (select match_id, home_id, sum(n) as n, sum(hg) as gf, sum(ag) as ga from pc group by all),
+aa as (select match_id, away_id, sum(n) as n, sum(ag) as gf, sum(hg) as ga from pc group by all),
+pr as (
+  select pc.match_id, n00, n01, n10, n11,
+    greatest(0.05e0, least(8e0, (hh.gf + 5e0 * mh) / (hh.n + 5e0) * (aa.ga + 5e0 * mh) / (aa.n + 5e0) / mh)) as lh,
+    greatest(0.05e0, least(8e0, (aa.gf + 5e0 * ma) / (aa.n + 5e0) * (hh.ga + 5e0 * ma) / (hh.n + 5e0) / ma)) as la
+  from pc join lg using (match_id) join hh using (match_id, home_id) join aa using (match_id, away_id)),
+tried as (
+  select match_id, rho, sum(n00 * ln(greatest(1 - lh * la * rho, 1e-300)) + n01 * ln(greatest(1 + lh * rho, 1e-300)) + n10 * ln(greatest(1 + la * rho, 1e-300)) + n11 * ln(1 - rho)) as ll,
+    min(least(1 - lh * la * rho, 1 + lh * rho, 1 + la * rho, 1 - rho)) as least_factor
+  from pr, (select i / 100e0 as rho from range(-15, 16) g(i)) group by all),
+fitted as (
+  select match_id, rho from tried join rates using (match_id)
+  where least(least_factor, 1 - rate_home * rate_away * rho, 1 + rate_home * rho, 1 + rate_away * rho) > 0.001
+  qualify row_number() over (partition by match_id order by 10 * rho * rho - ll, abs(rho), rho) = 1),
+rho as (select r.*, coalesce(f.rho, 0e0) as rho from rates r left join fitted f using (match_id))"""
+
+
+@query("dixon_coles_rho", with_(MATCH, league(), VENUE, RATES, PAIRS, RHO) + "select match_id, rho, round(rate_home,7) as rate_home, round(rate_away,7) as rate_away from rho")
 def dixon_coles_rho(t: Tables) -> DataFrame:
     return fits(t).select("match_id", "rho", r("rate_home", 7), r("rate_away", 7))
 
 
-@query("dixon_coles_hda")
+@query("dixon_coles_hda", with_(MATCH, league(), VENUE, RATES, PAIRS, RHO, GRID) + """,
+moved as (select match_id, -h[1] * a[1] * g.rate_home * g.rate_away * rho - h[2] * a[2] * rho as d, h[2] * a[1] * g.rate_away * rho as h1, h[1] * a[2] * g.rate_home * rho as a1 from grid g join rho using (match_id))
+select match_id, round((g_home + h1) / (mass + d + h1 + a1), 7) as p_home, round((g_draw + d) / (mass + d + h1 + a1), 7) as p_draw, round((g_away + a1) / (mass + d + h1 + a1), 7) as p_away
+from grid join moved using (match_id)""")
 def dixon_coles_hda(t: Tables) -> DataFrame:
     g = fits(t).withColumn("grid", scores.goal_grid(F.col("rate_home"), F.col("rate_away"), F.col("rho")))
     return g.select("match_id", *[F.round(p, 7).alias(c) for p, c in zip(forecast.grid_probabilities(), P)])
 
 
-@query("poisson_glm")
+# Seventy steps of gradient descent for all targets at once: a row for each target and team of its history.
+LOG_LINEAR = """
+total as (select match_id, sum(n) as n, sum(hg) as hg, sum(ag) as ag from pc group by match_id),
+own as (
+  select match_id, team, sum(gf) as gf, sum(ga) as ga from (
+    select match_id, home_id as team, hg as gf, ag as ga from pc union all select match_id, away_id, ag, hg from pc) group by all),
+descent as (
+  select 0 as i, match_id, team, gf, ga, n, hg, ag, ln((hg + 7.5e0) / (n + 5e0)) as bh, ln((ag + 6e0) / (n + 5e0)) as ba, 0e0 as attack, 0e0 as defence from own join total using (match_id)
+  union all
+  select i + 1, match_id, team, gf, ga, n, hg, ag, bh - 0.08e0 * (sum(th) over m - hg) / n, ba - 0.08e0 * (sum(ta) over m - ag) / n,
+    attack - 0.08e0 * ((xa - gf) / n + 0.04e0 * attack), defence - 0.08e0 * ((xd - ga) / n + 0.04e0 * defence)
+  from (
+    select match_id, team, sum(xa) as xa, sum(xd) as xd, sum(th) as th, sum(ta) as ta from (
+      select match_id, unnest([home_id, away_id]) as team, unnest([eh, ea]) as xa, unnest([ea, eh]) as xd, unnest([eh, 0e0]) as th, unnest([ea, 0e0]) as ta
+      from (
+        select p.match_id, home_id, away_id, p.n * exp(greatest(-4e0, least(2.5e0, h.bh + h.attack + a.defence))) as eh, p.n * exp(greatest(-4e0, least(2.5e0, h.ba + a.attack + h.defence))) as ea
+        from pc p join descent h on h.match_id = p.match_id and h.team = p.home_id join descent a on a.match_id = p.match_id and a.team = p.away_id)) group by match_id, team) e
+  join descent using (match_id, team) where i < 70
+  window m as (partition by match_id)),
+fit as (select * from descent where i = 70),
+rates as (
+  select m.match_id, m.competition_id, m.outcome, 0 as n, m.kickoff_at,
+    exp(greatest(-3e0, least(2e0, coalesce(b.bh, ln(1.5e0)) + coalesce(h.attack, 0) + coalesce(a.defence, 0)))) as rate_home,
+    exp(greatest(-3e0, least(2e0, coalesce(b.ba, ln(1.2e0)) + coalesce(a.attack, 0) + coalesce(h.defence, 0)))) as rate_away
+  from v_match m left join fit h on h.match_id = m.match_id and h.team = m.home_id left join fit a on a.match_id = m.match_id and a.team = m.away_id
+  left join (select match_id, any_value(bh) as bh, any_value(ba) as ba from fit group by match_id) b on b.match_id = m.match_id)"""
+
+
+@query("poisson_glm", with_(MATCH, PAIRS, LOG_LINEAR, GRID).replace("with", "with recursive", 1) + """
+select match_id, round(rate_home, 6) as glm_home, round(rate_away, 6) as glm_away, round(g_home/mass, 6) as p_home, round(g_draw/mass, 6) as p_draw, round(g_away/mass, 6) as p_away from grid""")
 def poisson_glm(t: Tables) -> DataFrame:
     g = fits(t).withColumn("grid", scores.goal_grid(F.col("glm_home"), F.col("glm_away")))
     return g.select("match_id", r("glm_home"), r("glm_away"), *[F.round(p, 6).alias(c) for p, c in zip(forecast.grid_probabilities(), P)])
