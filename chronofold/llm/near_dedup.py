@@ -8,8 +8,10 @@ two sketches, and its population count tells how many samples differ. Candidates
 leave room for the threshold are confirmed on the full sets.
 
 A bucket never emits all its pairs. First each member is compared with the bucket's smallest, then,
-where a bucket still holds several components, with its largest; only members of buckets that are
-still split afterwards are compared across components (never inside one), in salted blocks.
+where a bucket still holds several components, with its largest. Members of buckets that are still split
+are compared across components (never inside one) where they share one of their rarest shingles: of two
+sets at the threshold, each has a common one among its n - ceil(threshold * n) + 1 rarest. Pages of one
+template share frequent shingles only, so they don't meet. Large groups of a shingle are dealt out in blocks.
 
 Cases: a null or empty text has an empty set and is linked with nothing; a row without a key is
 linked with nothing and kept; keys may be of any type that has an order; rows that share a key are placed each by its
@@ -35,9 +37,8 @@ SAMPLES = 256
 ROWS = 4  # values of a band
 MISS = 1e-5  # probability at most that a pair at the threshold shares no band
 SKETCH_WORDS = 16  # 1024 bits
-FINE_SAMPLES, FINE_WORDS = 1024, 64  # of the few members that are compared across components
 SLACK = 4  # standard deviations by which a sketch may understate the similarity
-BLOCK = 2048  # members of a split bucket that one block compares
+BLOCK = 2048  # sets with one of their rarest shingles in common that one block compares
 
 U64 = np.uint64
 
@@ -152,20 +153,6 @@ def shingle_sets(docs: DataFrame) -> DataFrame:
     return docs.select("node", "set1", "set2", "text").mapInArrow(run, "node bigint, shingles array<bigint>")
 
 
-def fine_sketches(sets: DataFrame) -> DataFrame:
-    """(node, fine): odd sketches of FINE_SAMPLES samples of (node, shingles)."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 100):
-                part = batch.slice(at, 100)
-                flat = part.column(1).flatten().to_numpy().view(U64)
-                offsets = np.concatenate(([0], np.cumsum([len(x) for x in part.column(1)])))
-                yield pa.RecordBatch.from_arrays([part.column(0), _lists(_odd_sketches(_minhashes(flat, offsets, FINE_SAMPLES), FINE_WORDS))], names=["node", "fine"])
-
-    return sets.select("node", "shingles").filter(F.size("shingles") > 0).mapInArrow(run, "node bigint, fine array<bigint>")
-
-
 def differing(a: str, b: str) -> Column:
     """Set bits in the exclusive or of two odd sketches."""
     return F.expr(f"aggregate(zip_with({a}, {b}, (x, y) -> bit_count(x ^ y)), 0, (s, x) -> s + x)")
@@ -222,10 +209,30 @@ def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return shared.filter(f"100L * i >= {percent}L * (na + nb - i)").select("a", "b").distinct()
 
 
+def sharing_rare(sets: DataFrame, placed: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of nodes of `placed` (node, root) in different components that share one of their rarest shingles."""
+    rows = sets.join(placed, "node").select("node", "root", F.size("shingles").alias("size"), F.explode("shingles").alias("shingle"))
+    often = rows.groupBy("shingle").agg(F.count("*").alias("often"))
+    ranked = rows.join(often, "shingle").groupBy("node", "root", "size").agg(F.array_sort(F.collect_list(F.struct("often", "shingle"))).alias("all"))
+    first = F.slice("all", F.lit(1), F.col("size") - F.ceil(F.col("size") * percent / 100).cast("int") + 1)
+    rare = ranked.select("node", "root", "size", F.inline(first)).filter("often > 1")
+    blocks = F.ceil(F.col("often") / BLOCK).cast("int")
+
+    def side(letter: str, block: Column) -> DataFrame:
+        return rare.select("shingle", *[F.col(c).alias(f"{c}_{letter}") for c in ("node", "root", "size")], block.alias("block"))
+
+    one = side("a", F.pmod(F.xxhash64("node"), blocks).cast("int"))
+    other = side("b", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    meet = (F.col("node_a") < F.col("node_b")) & (F.col("root_a") != F.col("root_b")) & F.expr(f"100 * least(size_a, size_b) >= {percent} * greatest(size_a, size_b)")
+    return one.join(other, ["shingle", "block"]).filter(meet).select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
+
+
 def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = 85, carry: str | None = None) -> DataFrame:
-    """(key, n_shingles, component_id, kept) for every row of `docs`; `carry` names one more column to pass on.
+    """(key, n_shingles, component_id, kept) for every row of `docs`.
 
     Nodes are distinct sets, numbered where they are written, so keys may be of any type and repeat.
+    `carry` names one more column to pass on, and adds `component`, a number of the component that tells
+    components apart even where their smallest keys are equal; it is null for rows linked with nothing.
     """
     rows = store(sketches(docs, key, text, percent, carry), "sketches")
     whole = rows.filter("n_shingles > 0 and key is not null")
@@ -257,31 +264,19 @@ def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: in
     links = store(links.union(confirm(likely(again, nodes, percent), sets, percent)), "links")
     roots = components(links)
 
-    # What is still split is compared across components, by sketches fine enough that few pairs in
-    # vain reach the full sets.
-    parts = store(split(roots), "parts")
-    fine = store(fine_sketches(sets.join(parts.select("node").distinct(), "node", "left_semi")), "fine")
-    rest = parts.join(nodes.select("node", "n_shingles", "bands"), "node").join(fine, "node")
-    blocks = F.greatest(F.lit(1), F.ceil(F.col("n") / BLOCK).cast("int"))
-
-    def side(letter: str, block: Column) -> DataFrame:
-        return rest.select("bucket", *[F.col(c).alias(letter + c) for c in ("node", "root", "fine", "n_shingles", "bands")], block.alias("block"))
-
-    one = side("a_", F.pmod(F.xxhash64("node"), blocks))
-    other = side("b_", F.explode(F.sequence(F.lit(0).cast("bigint"), (blocks - 1).cast("bigint"))))
-    meet = (F.col("a_node") < F.col("b_node")) & (F.col("a_root") != F.col("b_root")) & F.expr(f"100 * least(a_n_shingles, b_n_shingles) >= {percent} * greatest(a_n_shingles, b_n_shingles)")
-    meet &= differing("a_fine", "b_fine") <= most_differing(percent, FINE_SAMPLES, FINE_WORDS)
-    meet &= F.col("x.bucket") == F.get(F.array_intersect("a_bands", "b_bands"), F.lit(0))  # once for all buckets that a pair shares
-    across = one.alias("x").join(other.alias("y"), (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.block") == F.col("y.block")) & meet)
-    more = confirm(across.select(F.col("a_node").alias("a"), F.col("b_node").alias("b")).distinct(), sets, percent)
+    # What is still split is compared across components.
+    placed = store(split(roots).select("node", "root").distinct(), "parts")
+    rare = store(sharing_rare(sets, placed, percent), "rare")
+    more = confirm(likely(rare, nodes, percent), sets, percent)
     roots = components(store(links.union(more), "links"))
 
     # From nodes back to rows, by the set's digest; a component's key is the smallest of its rows.
     named = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")).select(*sets_of, "key", "root")
     least = named.groupBy("root").agg(F.min("key").alias("component"))
-    placed = rows.join(named.join(least, "root").select(*sets_of, "component"), sets_of, "left")
-    component = F.when(F.col("key").isNotNull() & (F.col("n_shingles") > 0), F.col("component")).otherwise(F.col("key"))
-    carried = [F.col("carry").alias(carry)] if carry else []
+    placed = rows.join(named.join(least, "root").select(*sets_of, "component", "root"), sets_of, "left")
+    linked = F.col("key").isNotNull() & (F.col("n_shingles") > 0)
+    component = F.when(linked, F.col("component")).otherwise(F.col("key"))
+    carried = [F.col("carry").alias(carry), F.when(linked, F.col("root")).alias("component")] if carry else []
     return placed.select(F.col("key").alias(key), *carried, "n_shingles", component.alias("component_id")).withColumn(
         "kept", F.coalesce(F.col(key) == F.col("component_id"), F.lit(True))
     )
