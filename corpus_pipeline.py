@@ -42,10 +42,10 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     """
     docs = docs.select(*COLUMNS, F.sha2("text", 256).alias("digest"))
     groups = near_dedup.groups(docs.select("doc_id", "text", "digest"), percent=NEAR_PERCENT, carry="digest")
-    linked = groups.filter("n_shingles > 0 and doc_id is not null").groupBy("component_id", "doc_id", "digest").agg(F.count("*").alias("n"))
+    linked = groups.filter("component is not null").groupBy("component", "doc_id", "digest").agg(F.count("*").alias("n"))
     placed = store(linked, "copies")
-    stays = placed.groupBy("component_id").agg(F.min(F.struct("doc_id", "digest")).alias("stays"))
-    fate = placed.join(stays, "component_id").withColumn("goes", F.struct("doc_id", "digest") != F.col("stays"))
+    stays = placed.groupBy("component").agg(F.min(F.struct("doc_id", "digest")).alias("stays"))
+    fate = placed.join(stays, "component").withColumn("goes", F.struct("doc_id", "digest") != F.col("stays"))
     fate = store(fate.filter("goes or n > 1").select("doc_id", "digest", "goes"), "fate")
     rest = _without(docs, fate.filter("goes").select("doc_id", "digest"), "doc_id", "digest")
     twice = fate.filter("not goes").select("doc_id", "digest")
