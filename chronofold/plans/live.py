@@ -11,8 +11,9 @@ from ..session import scratch_path
 from ..sources import tables
 from ..streaming import streams
 from . import views
+from .quality import ATTEMPT
 from .registry import query
-from .sqlviews import REVISION, with_
+from .sqlviews import MATCH, REVISION, with_
 from .views import Tables, span, ts
 
 CUTS = ("2024-01-11 00:00:00", "2024-01-21 00:00:00")
@@ -21,12 +22,14 @@ STATE = "spark.sql.streaming.stateStore.providerClass"
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-def played(t: Tables, rows: DataFrame, at: Column) -> DataFrame:
-    """`rows` as a stream of three micro-batches in the order of the clock `at`."""
+def played(t: Tables, rows: DataFrame, at: Column, cuts: tuple[str, str] = CUTS, beat: DataFrame | None = None) -> DataFrame:
+    """`rows` as a stream of three micro-batches in the order of the clock `at`; then `beat`, which moves the watermark past them all."""
     path = scratch_path(t.spark, "feed")
-    piece = F.when(at < ts(CUTS[0]), 0).when(at < ts(CUTS[1]), 1).otherwise(2)
+    piece = F.when(at < ts(cuts[0]), 0).when(at < ts(cuts[1]), 1).otherwise(2)
     for i in range(3):
         rows.filter(piece == i).repartition(FILES).write.mode("append").parquet(path)
+    if beat is not None:
+        beat.coalesce(1).write.mode("append").parquet(path)
     return streams.read_stream(t.spark, path, rows.schema, files_per_trigger=FILES)
 
 
@@ -92,3 +95,48 @@ def stream_latest(t: Tables) -> DataFrame:
     return updates.groupBy("entity_key").agg(F.max("version").alias("version"), F.max_by("record_id", "version").alias("record_id"))
 
 
+def heartbeat(t: Tables, rows: DataFrame, key: str, at: str) -> DataFrame:
+    """One row long after all others, under a key of its own; the watermark never passes the row itself."""
+    return t.spark.range(1).select(*[
+        F.lit("~").alias(c) if c == key else ts("2100-01-01 00:00:00").cast("timestamp").alias(c) if c == at else F.lit(4102444800000000).cast(kind).alias(c) if c.endswith("us") else F.lit(0).cast(kind).alias(c)
+        for c, kind in rows.dtypes])
+
+
+@query("stream_rate_gate", with_(ATTEMPT) + """
+select a.attempt_id, count(b.attempt_id) as in_last_day, coalesce(any_value(a.soon), false) as too_soon
+from (select *, attempted_at - lag(attempted_at) over (partition by source_id order by attempted_at, attempt_id) < interval '60' second as soon from attempt) a
+join attempt b on b.source_id = a.source_id and b.attempted_at <= a.attempted_at and b.attempted_at + interval '1' day > a.attempted_at group by 1""")
+def stream_rate_gate(t: Tables) -> DataFrame:
+    """Attempts arrive up to a day late, so out of order within and across batches."""
+    rows = clocked(t).select(F.concat(F.lit("u"), (F.col("user_id") % 20).cast("string")).alias("source"), F.col("event_id").alias("attempt_id"), F.unix_micros("ts").alias("us"), "ts")
+    arrival = F.col("ts") + F.make_dt_interval(hours=(F.col("attempt_id") * 7 % 25).cast("int"))
+    feed = played(t, rows, arrival, beat=heartbeat(t, rows, "source", "ts"))
+    return finished(t, streams.rate_gate(feed, "ts", "2 days")).select("attempt_id", "in_last_day", "too_soon")
+
+
+@query("stream_live_ratings", with_(MATCH).replace("with", "with recursive", 1) + """,
+steps as (select competition_id, match_id, home_id, away_id, home_goals - away_goals as goals, row_number() over (partition by competition_id order by completed_at, match_id) as i from v_match where available_at is not null),
+walk as (
+  select distinct competition_id, cast(0 as bigint) as i, cast(null as bigint) as match_id, cast(null as double) as chance, [1500e0 for x in range(25)] as ratings from v_match
+  union all
+  select s.competition_id, s.i, s.match_id, 1e0 / (1e0 + pow(10e0, (w.ratings[away_id + 1] - w.ratings[home_id + 1] - 65e0) / 400e0)),
+    list_transform(w.ratings, lambda x, j: x + (case j - 1 when home_id then 20e0 when away_id then -20e0 else 0e0 end)
+      * ((sign(goals) + 1e0) / 2e0 - 1e0 / (1e0 + pow(10e0, (w.ratings[away_id + 1] - w.ratings[home_id + 1] - 65e0) / 400e0))))
+  from walk w join steps s on s.competition_id = w.competition_id and s.i = w.i + 1)
+select competition_id, match_id, round(chance, 7) as chance from walk where match_id is not null""")
+def stream_live_ratings(t: Tables) -> DataFrame:
+    """Results arrive up to nine days late, so out of order within and across batches."""
+    m = views.matches(t).filter(F.col("available_at").isNotNull()).withColumn("ts", F.col("completed_at").cast("timestamp"))
+    rows = m.select("competition_id", "match_id", "home_id", "away_id", (F.col("home_goals") - F.col("away_goals")).alias("goals"), F.unix_micros("ts").alias("completed_us"), "ts")
+    arrival = F.col("ts") + F.make_dt_interval(days=(F.col("match_id") % 10).cast("int"))
+    feed = played(t, rows, arrival, ("1994-07-01 00:00:00", "1996-07-01 00:00:00"), heartbeat(t, rows, "competition_id", "ts"))
+    return finished(t, streams.live_ratings(feed, "ts", "15 days")).filter("competition_id <> '~'").select("competition_id", "match_id", F.round("chance", 7).alias("chance"))
+
+
+@query("stream_freshness", """select 'feed' || cast(datediff('day', date '1970-01-01', cast(ts as date)) // 2 as varchar) as source, epoch_us(max(ts)) // 1000 as last_seen_ms, epoch_us(max(ts)) // 1000 + 21600000 as alerted_at_ms from events group by 1""")
+def stream_freshness(t: Tables) -> DataFrame:
+    """Each feed lives for two days; six hours of silence raise its one alert."""
+    feed_of = F.concat(F.lit("feed"), F.floor(F.datediff("ts", F.lit("1970-01-01")) / 2).cast("string"))
+    rows = clocked(t).select(feed_of.alias("source"), F.unix_millis("ts").alias("ms"), "ts")
+    feed = played(t, rows, F.col("ts"), beat=heartbeat(t, rows, "source", "ts"))
+    return finished(t, streams.stale_alerts(feed, "ts", 21_600_000, "1 hour")).filter("source <> '~'").select("source", "last_seen_ms", "alerted_at_ms")

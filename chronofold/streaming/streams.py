@@ -7,6 +7,7 @@ Every stream reads with an explicit schema, is idempotent per batch or keyed by
 from __future__ import annotations
 
 import os
+from collections import deque
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
@@ -167,66 +168,131 @@ def stale_alerts(stream: DataFrame, at: str, limit_ms: int, delay: str) -> DataF
     return stream.withWatermark(at, delay).groupBy("source").transformWithStateInPandas(Freshness(limit_ms), STALE_SCHEMA, "Append", "EventTime")
 
 
-RATE_SCHEMA = "attempt_id bigint, in_last_day bigint, too_soon boolean"
-DAY_US = 86_400_000_000
+class InOrder(StatefulProcessor):
+    """Rows of a key in order of event time, however they arrive within the watermark's delay.
 
+    Rows wait in a map by (micros, id) until the watermark has passed them, by the next input or by a
+    timer; state holds the rows of one delay at most. `due` sees each row once, in order.
+    """
 
-class RateGate(StatefulProcessor):
-    """Attempts of the last day per source; only instants inside the day stay in state."""
+    VALUE = "value int"
+    COLUMNS: tuple[str, ...] = ()  # micros, id, then the value's columns
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.recent = handle.getListState("recent", "us bigint")
+        self.handle = handle
+        self.waiting = handle.getMapState("waiting", "us bigint, id bigint", self.VALUE)
+
+    def begin(self) -> None:
+        """Before rows are handed to `due`."""
+
+    def due(self, us: int, row: int, value: tuple) -> tuple:
+        raise NotImplementedError
+
+    def end(self) -> None:
+        """After the last row: what `due` has changed goes to state."""
+
+    def frame(self, key, rows: list[tuple]) -> pd.DataFrame:
+        raise NotImplementedError
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        held = [int(r[0]) for r in self.recent.get()] if self.recent.exists() else []
-        frame = pd.concat(list(rows)).sort_values(["us", "attempt_id"])
-        ids, counts, soon = [], [], []
-        for attempt, us in zip(frame.attempt_id, frame.us):
-            previous = held[-1] if held else None
-            held = [h for h in held if h > us - DAY_US] + [int(us)]
-            ids.append(int(attempt))
-            counts.append(len(held))
-            soon.append(previous is not None and us - previous < 60_000_000)
-        self.recent.put([(h,) for h in held])
-        yield pd.DataFrame({"attempt_id": ids, "in_last_day": counts, "too_soon": soon})
+        for part in rows:
+            for us, row, *value in part[list(self.COLUMNS)].itertuples(index=False):
+                self.waiting.updateValue((int(us), int(row)), tuple(int(v) for v in value) or (0,))
+        yield from self._passed(key, timerValues.getCurrentWatermarkInMs())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        yield from self._passed(key, timerValues.getCurrentWatermarkInMs())
+
+    def _passed(self, key, watermark_ms: int) -> Iterator[pd.DataFrame]:
+        places = sorted((int(k[0]), int(k[1])) for k in self.waiting.keys())
+        ready = [p for p in places if p[0] <= watermark_ms * 1000]
+        if ready:
+            self.begin()
+            out = []
+            for place in ready:
+                out.append(self.due(*place, tuple(self.waiting.getValue(place))))
+                self.waiting.removeKey(place)
+            self.end()
+            yield self.frame(key, out)
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer[0] if isinstance(timer, tuple) else timer)
+        if len(ready) < len(places):
+            self.handle.registerTimer(max(places[len(ready)][0] // 1000, watermark_ms) + 1)
 
     def close(self) -> None:
         pass
 
 
-def rate_gate(stream: DataFrame) -> DataFrame:
-    """stream: source, attempt_id, us; attempts of a source must arrive in order of time."""
-    return stream.groupBy("source").transformWithStateInPandas(RateGate(), RATE_SCHEMA, "Append", "None")
+RATE_SCHEMA = "attempt_id bigint, in_last_day bigint, too_soon boolean"
+DAY_US, GAP_US = 86_400_000_000, 60_000_000
+
+
+class RateGate(InOrder):
+    """Attempts of the last day per source; only instants inside the day stay in state."""
+
+    COLUMNS = ("us", "attempt_id")
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        super().init(handle)
+        self.recent = handle.getListState("recent", "us bigint")
+
+    def begin(self) -> None:
+        self.held = deque(int(r[0]) for r in self.recent.get()) if self.recent.exists() else deque()
+
+    def due(self, us: int, row: int, value: tuple) -> tuple:
+        soon = bool(self.held) and us - self.held[-1] < GAP_US
+        while self.held and self.held[0] <= us - DAY_US:
+            self.held.popleft()
+        self.held.append(us)
+        return row, len(self.held), soon
+
+    def end(self) -> None:
+        self.recent.put([(h,) for h in self.held])
+
+    def frame(self, key, rows: list[tuple]) -> pd.DataFrame:
+        return pd.DataFrame(rows, columns=["attempt_id", "in_last_day", "too_soon"])
+
+
+def rate_gate(stream: DataFrame, at: str, delay: str) -> DataFrame:
+    """stream: source, attempt_id, us and the event time `at`; attempts may arrive up to `delay` late."""
+    return stream.withWatermark(at, delay).groupBy("source").transformWithStateInPandas(RateGate(), RATE_SCHEMA, "Append", "EventTime")
 
 
 ELO_STREAM_SCHEMA = "competition_id string, match_id bigint, chance double"
 
 
-class LiveRatings(StatefulProcessor):
+class LiveRatings(InOrder):
     """Rating per team of a competition; emits the pre-match chance of every finished match."""
 
+    VALUE = "home bigint, away bigint, goals bigint"
+    COLUMNS = ("completed_us", "match_id", "home_id", "away_id", "goals")
+
     def init(self, handle: StatefulProcessorHandle) -> None:
+        super().init(handle)
         self.ratings = handle.getMapState("ratings", "team bigint", "rating double")
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        board, touched = ratings.Board(), set()
-        for frame in rows:
-            ordered, chances = frame.sort_values(["completed_us", "match_id"]), []
-            for r in ordered.itertuples():
-                for team in {int(r.home_id), int(r.away_id)} - touched:
-                    touched.add(team)
-                    if self.ratings.containsKey((team,)):
-                        board.ratings[team] = float(self.ratings.getValue((team,))[0])
-                chances.append(board.chance(int(r.home_id), int(r.away_id)))
-                board.change((r.completed_us, r.match_id), int(r.home_id), int(r.away_id), int(r.home_goals - r.away_goals))
-            yield pd.DataFrame({"competition_id": key[0], "match_id": ordered.match_id.astype("int64").to_numpy(), "chance": chances})
-        for team, value in board.ratings.items():
+    def begin(self) -> None:
+        self.board = ratings.Board()
+
+    def due(self, us: int, row: int, value: tuple) -> tuple:
+        home, away, goals = (int(v) for v in value)
+        for team in (home, away):
+            if team not in self.board.ratings and self.ratings.containsKey((team,)):
+                self.board.ratings[team] = float(self.ratings.getValue((team,))[0])
+        chance = self.board.chance(home, away)
+        self.board.change((us, row), home, away, goals)
+        return row, chance
+
+    def end(self) -> None:
+        for team, value in self.board.ratings.items():
             self.ratings.updateValue((team,), (value,))
 
-    def close(self) -> None:
-        pass
+    def frame(self, key, rows: list[tuple]) -> pd.DataFrame:
+        made = pd.DataFrame(rows, columns=["match_id", "chance"])
+        made.insert(0, "competition_id", key[0])
+        return made
 
 
-def live_ratings(stream: DataFrame) -> DataFrame:
-    """stream: competition_id, match_id, home_id, away_id, home_goals, away_goals, completed_us."""
-    return stream.groupBy("competition_id").transformWithStateInPandas(LiveRatings(), ELO_STREAM_SCHEMA, "Append", "None")
+def live_ratings(stream: DataFrame, at: str, delay: str) -> DataFrame:
+    """stream: competition_id, match_id, home_id, away_id, goals (home less away), completed_us and the event time `at`."""
+    return stream.withWatermark(at, delay).groupBy("competition_id").transformWithStateInPandas(LiveRatings(), ELO_STREAM_SCHEMA, "Append", "EventTime")
