@@ -262,7 +262,8 @@ def versioned_append(t: Tables) -> DataFrame:
     return tables.append_versions(old, new, ["arrived_at"], running.calendar_slice("arrived_at")).select("record_id", "natural_key", "version", "supersedes_id")
 
 
-@query("immutable_refusals", with_(STORE) + """select i.record_id, i.natural_key from incoming i join (select natural_key, max(dedup_key) as held from existing group by 1) using (natural_key) where held <> dedup_key""")
+@query("immutable_refusals", with_(STORE) + """select i.record_id, i.natural_key from incoming i where natural_key in (select natural_key from existing)
+  and not exists (select 1 from existing e where e.natural_key = i.natural_key and e.dedup_key = i.dedup_key)""")
 def immutable_refusals(t: Tables) -> DataFrame:
     old, new = store(t)
     return tables.immutable_refusals(old, new).select("record_id", "natural_key")

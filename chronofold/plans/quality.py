@@ -256,7 +256,7 @@ def corpus(t: Tables) -> DataFrame:
 _SQL_RULES = {k: v.replace("'", "''") for k, v in text.SECRET_RULES.items()}
 _SQL_RULES["credential_connection_string"] = r"(?i)(?:^|[^\w-])(?:password|pwd)\s*=\s*([A-Za-z0-9_~!@#$%^&*+/-]{8,})(?:[;\"''\s]|$)"
 _SQL_RULES["literal_credential_assignment"] = (
-    r"(?i)(?:^|[^\w-])[\"'']?(?:" + "|".join(text.SENSITIVE_NAMES) + r")[\"'']?\s*[:=]\s*(\"[^\"\r\n]*\"|''[^''\r\n]*'')")
+    r"(?i)(?:^|[^\w-])[\"'']?" + text.SENSITIVE_NAME + r"[\"'']?\s*[:=]\s*(\"[^\"\r\n]*\"|''[^''\r\n]*'')")
 _LINES = _CORPUS + ", lines as (select doc_id, source, lang, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) as i from corpus)"
 
 

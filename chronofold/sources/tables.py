@@ -52,9 +52,9 @@ def append_versions(existing: DataFrame, incoming: DataFrame, arrival: Sequence[
 
 
 def immutable_refusals(existing: DataFrame, incoming: DataFrame) -> DataFrame:
-    """Incoming rows whose key already exists with another payload, for tables that never version."""
-    held = existing.groupBy("natural_key").agg(F.max("dedup_key").alias("_held"))
-    return incoming.join(held, "natural_key").filter(F.col("_held") != F.col("dedup_key")).drop("_held")
+    """Incoming rows whose key already exists, but not with this payload, for tables that never version."""
+    known = incoming.join(existing.select("natural_key").distinct(), "natural_key", "left_semi")
+    return known.join(existing.select("natural_key", "dedup_key").distinct(), ["natural_key", "dedup_key"], "left_anti")
 
 
 def manifest(rows: DataFrame, parts: Sequence[Column], body: Column) -> DataFrame:
