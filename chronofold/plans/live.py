@@ -95,10 +95,26 @@ def stream_latest(t: Tables) -> DataFrame:
     return updates.groupBy("entity_key").agg(F.max("version").alias("version"), F.max_by("record_id", "version").alias("record_id"))
 
 
+CURSORS = ("2024-01-09 00:00:00", "2024-01-16 12:00:00", "2024-01-29 06:00:00")
+
+
+@query("stream_as_of", with_(REVISION) + ", cursors as (select unnest([" + ", ".join(f"timestamp '{c}'" for c in CURSORS) + """]) as cursor_at)
+select cursor_at, entity_key, max(version) as version, max_by(record_id, version) as record_id from v_revision join cursors on available_at <= cursor_at group by 1, 2""")
+def stream_as_of(t: Tables) -> DataFrame:
+    """Versions arrive up to twelve hours early or late, and count from their availability on; what was current at three moments."""
+    known = views.revisions(t).filter(F.col("available_at").isNotNull()).withColumn("ts", F.col("available_at").cast("timestamp"))
+    rows = known.select("entity_key", "record_id", "version", F.unix_micros("ts").alias("us"), "ts")
+    arrival = F.col("ts") + F.make_dt_interval(hours=(F.col("record_id") * 7 % 25 - 12).cast("int"))
+    changes = finished(t, streams.current_versions(played(t, rows, arrival, beat=heartbeat(t, rows, "entity_key", "ts")), "ts", "2 days"))
+    cursors = F.explode(F.array(*map(ts, CURSORS))).alias("cursor_at")
+    before = changes.select("*", cursors).filter(F.col("available_us") <= F.unix_micros(F.col("cursor_at").cast("timestamp")))
+    return before.groupBy("cursor_at", "entity_key").agg(F.max("version").alias("version"), F.max_by("record_id", "version").alias("record_id"))
+
+
 def heartbeat(t: Tables, rows: DataFrame, key: str, at: str) -> DataFrame:
     """One row long after all others, under a key of its own; the watermark never passes the row itself."""
     return t.spark.range(1).select(*[
-        F.lit("~").alias(c) if c == key else ts("2100-01-01 00:00:00").cast("timestamp").alias(c) if c == at else F.lit(4102444800000000).cast(kind).alias(c) if c.endswith("us") else F.lit(0).cast(kind).alias(c)
+        F.lit("~" if kind == "string" else -1).cast(kind).alias(c) if c == key else ts("2100-01-01 00:00:00").cast("timestamp").alias(c) if c == at else F.lit(4102444800000000).cast(kind).alias(c) if c.endswith("us") else F.lit(0).cast(kind).alias(c)
         for c, kind in rows.dtypes])
 
 

@@ -133,41 +133,6 @@ def latest_versions(stream: DataFrame) -> DataFrame:
     return stream.groupBy("entity_key").transformWithStateInPandas(LatestVersion(), LATEST_SCHEMA, "Update", "None")
 
 
-STALE_SCHEMA = "source string, last_seen_ms bigint, alerted_at_ms bigint"
-
-
-class Freshness(StatefulProcessor):
-    """Emit an alert when a source stays silent longer than its limit in event time."""
-
-    def __init__(self, limit_ms: int):
-        self.limit_ms = limit_ms
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.last = handle.getValueState("last", "ms bigint")
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        seen = int(self.last.get()[0]) if self.last.exists() else 0
-        for frame in rows:
-            seen = max(seen, int(frame.ms.max()))
-        self.last.update((seen,))
-        for timer in self.handle.listTimers():
-            self.handle.deleteTimer(timer[0] if isinstance(timer, tuple) else timer)
-        self.handle.registerTimer(seen + self.limit_ms)
-        return iter(())
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        yield pd.DataFrame({"source": [key[0]], "last_seen_ms": [int(self.last.get()[0])], "alerted_at_ms": [int(expiredTimerInfo.getExpiryTimeInMs())]})
-
-    def close(self) -> None:
-        pass
-
-
-def stale_alerts(stream: DataFrame, at: str, limit_ms: int, delay: str) -> DataFrame:
-    """stream: source, ms (event time in epoch milliseconds) and the event-time column `at`."""
-    return stream.withWatermark(at, delay).groupBy("source").transformWithStateInPandas(Freshness(limit_ms), STALE_SCHEMA, "Append", "EventTime")
-
-
 class InOrder(StatefulProcessor):
     """Rows of a key in order of event time, however they arrive within the watermark's delay.
 
@@ -223,6 +188,81 @@ class InOrder(StatefulProcessor):
         pass
 
 
+CURRENT_SCHEMA = "entity_key bigint, version bigint, record_id bigint, available_us bigint"
+
+
+class CurrentVersion(InOrder):
+    """The version of an entity that is current, from the moment it becomes available.
+
+    A version that arrives early waits until then; one that becomes available after a higher one never is current.
+    """
+
+    VALUE = "version bigint"
+    COLUMNS = ("us", "record_id", "version")
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        super().init(handle)
+        self.best = handle.getValueState("best", "version bigint")
+
+    def begin(self) -> None:
+        self.top = int(self.best.get()[0]) if self.best.exists() else None
+
+    def due(self, us: int, row: int, value: tuple) -> tuple | None:
+        version = int(value[0])
+        if self.top is not None and version <= self.top:
+            return None
+        self.top = version
+        return version, row, us
+
+    def end(self) -> None:
+        self.best.update((self.top,))
+
+    def frame(self, key, rows: list[tuple]) -> pd.DataFrame:
+        made = pd.DataFrame([r for r in rows if r], columns=["version", "record_id", "available_us"]).astype("int64")
+        made.insert(0, "entity_key", int(key[0]))
+        return made
+
+
+def current_versions(stream: DataFrame, at: str, delay: str) -> DataFrame:
+    """stream: entity_key, record_id, version, us (availability) and the event time `at`; one row for each change of what is current."""
+    return stream.withWatermark(at, delay).groupBy("entity_key").transformWithStateInPandas(CurrentVersion(), CURRENT_SCHEMA, "Append", "EventTime")
+
+
+STALE_SCHEMA = "source string, last_seen_ms bigint, alerted_at_ms bigint"
+
+
+class Freshness(StatefulProcessor):
+    """Emit an alert when a source stays silent longer than its limit in event time."""
+
+    def __init__(self, limit_ms: int):
+        self.limit_ms = limit_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.last = handle.getValueState("last", "ms bigint")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        seen = int(self.last.get()[0]) if self.last.exists() else 0
+        for frame in rows:
+            seen = max(seen, int(frame.ms.max()))
+        self.last.update((seen,))
+        for timer in self.handle.listTimers():
+            self.handle.deleteTimer(timer[0] if isinstance(timer, tuple) else timer)
+        self.handle.registerTimer(seen + self.limit_ms)
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        yield pd.DataFrame({"source": [key[0]], "last_seen_ms": [int(self.last.get()[0])], "alerted_at_ms": [int(expiredTimerInfo.getExpiryTimeInMs())]})
+
+    def close(self) -> None:
+        pass
+
+
+def stale_alerts(stream: DataFrame, at: str, limit_ms: int, delay: str) -> DataFrame:
+    """stream: source, ms (event time in epoch milliseconds) and the event-time column `at`."""
+    return stream.withWatermark(at, delay).groupBy("source").transformWithStateInPandas(Freshness(limit_ms), STALE_SCHEMA, "Append", "EventTime")
+
+
 RATE_SCHEMA = "attempt_id bigint, in_last_day bigint, too_soon boolean"
 DAY_US, GAP_US = 86_400_000_000, 60_000_000
 
