@@ -59,10 +59,15 @@ def record_gate(records: DataFrame, at: Column, arrival: str, body: Sequence[str
     if seen is not None:
         stepped = stepped.join(seen, "fixture_id", "left")
         prior = F.coalesce(prior, F.col("seen_hash"))
+    return judged(stepped, at, prior)
+
+
+def judged(hashed: DataFrame, at: Column, prior: Column) -> DataFrame:
+    """Reason codes and verdict of records with a `body_hash`, given the body that arrived before under the same id."""
     repeat = F.when(prior.isNull(), None).when(prior == F.col("body_hash"), "DUPLICATE").otherwise("CONFLICTING_DATA")
     codes = F.array_sort(F.array_compact(F.concat(record_reasons(at), F.array(repeat))))
     severe = F.array_except("reason_codes", F.array(*[F.lit(q) for q in QUARANTINABLE]))
-    return stepped.withColumn("reason_codes", codes).withColumn(
+    return hashed.withColumn("reason_codes", codes).withColumn(
         "verdict", F.when(F.size("reason_codes") == 0, "ACCEPT").when(F.size(severe) == 0, "QUARANTINE").otherwise("REJECT"))
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import UTC, datetime
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -11,7 +13,7 @@ from ..session import scratch_path
 from ..sources import tables
 from ..streaming import streams
 from . import views
-from .quality import ATTEMPT
+from .quality import ATTEMPT, BODY_SAME, NOW, RECORD, records
 from .registry import query
 from .sqlviews import MATCH, REVISION, with_
 from .views import Tables, span, ts
@@ -48,6 +50,23 @@ def finished(t: Tables, stream: DataFrame, mode: str = "append") -> DataFrame:
     return t.spark.read.schema(T.StructType([*stream.schema, T.StructField("batch", T.LongType())])).option("basePath", out).parquet(out)
 
 
+@query("stream_verdicts", with_(RECORD) + "select arrival, fixture_id, reasons, verdict from verdicts")
+def stream_verdicts(t: Tables) -> DataFrame:
+    """The record gate over three batches; their borders lie inside groups of repeated ids."""
+    third = t.events.count() // 90 * 30 + 1
+    second = lambda n: str(datetime.fromtimestamp(n, UTC).replace(tzinfo=None))
+    at = F.timestamp_seconds("arrival").cast("timestamp_ntz")
+    root = scratch_path(t.spark, "verdicts")
+    before = t.spark.conf.get(STATE)
+    t.spark.conf.set(STATE, ROCKS)
+    try:
+        feed = played(t, records(t).withColumn("seen_at", F.timestamp_seconds(F.col("arrival") + 86400)), at, (second(third), second(2 * third - 1)))
+        streams.run_available(streams.split_verdicts(feed, root, ts(NOW), "arrival", BODY_SAME, "seen_at", "1 minute"), scratch_path(t.spark, "stream-state"))
+    finally:
+        t.spark.conf.set(STATE, before)
+    return t.spark.read.parquet(root).select("arrival", "fixture_id", F.col("reason_codes").alias("reasons"), "verdict")
+
+
 def clocked(t: Tables) -> DataFrame:
     return t.events.withColumn("ts", F.col("ts").cast("timestamp"))
 
