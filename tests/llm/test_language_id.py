@@ -1,3 +1,4 @@
+import zstandard
 from common import odd_rows
 
 from chronofold.llm import language_id
@@ -30,3 +31,28 @@ def test_a_long_text_is_judged_throughout():
     judge = language_id.Judge({"en": b"the cat sat on the mat and the dog ran " * 20, "fr": b"le chat est sur la table et il dort ici " * 20})
     text = "le chat est " * 20 + "the dog ran and the cat sat on the mat. " * 2000
     assert judge.judge(text)[0] == "en"
+
+
+def test_predictions_equal_plain_compression(spark):
+    """Every text under every language's dictionary, a new compressor for each block."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang")
+    learned = language_id.learn(docs.filter("doc_id % 5 <> 0"))
+    some = docs.filter("doc_id % 9 = 0")
+    texts = {r["doc_id"]: r["text"] for r in some.collect()}
+
+    def size(raw, text):
+        level = zstandard.ZstdCompressionParameters(**language_id.LEVEL, **language_id.FRAME)
+        whole = text.lower()
+        blocks = [whole[i : i + language_id.BLOCK_CHARS].encode() for i in range(0, len(whole), language_id.BLOCK_CHARS)]
+        content = zstandard.ZstdCompressionDict(raw, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        return sum(len(zstandard.ZstdCompressor(dict_data=content, compression_params=level).compress(b)) for b in blocks)
+
+    for r in language_id.predict(some, learned).collect():
+        text = texts[r["doc_id"]]
+        if not text or not any(c.isalpha() for c in text):
+            assert r["lang_pred"] == language_id.UNKNOWN
+            continue
+        sizes = {name: size(raw, text) for name, raw in learned.items()}
+        best = min(sizes, key=lambda n: (sizes[n], list(learned).index(n)))
+        assert r["lang_pred"] == best
+        assert abs(r["score"] - 1 / sum(2.0 ** max(-60, sizes[best] - s) for s in sizes.values())) < 1e-9
