@@ -7,12 +7,17 @@ GRAM-byte strings marks an anchor, and equal windows have equal anchors at equal
 1. Anchors: a window's leftmost smallest GRAM-string; about two in LENGTH - GRAM bytes are anchors.
 2. Anchors whose GRAM-string occurs once drop out; GRAM-strings are counted over all texts.
 3. The others carry the bytes of their windows. Equal records are counted first and go on once.
-4. Sampled splitters range-partition the records by the leading bytes of the anchored suffix, so
-   that a match never crosses a border: suffixes that could match have the same leading bytes.
-5. A bucket sorts its suffixes by multikey quicksort, eight bytes a key, and derives the common
-   prefixes of neighbours. The windows at offset o of two records are equal when the suffixes share
-   LENGTH - o bytes and the o bytes in front of the anchor have the same fingerprint.
-6. The windows found go back to their texts, which drop the bytes that are covered.
+4. Sampled splitters range-partition the records by the anchored suffix, then by the bytes in front
+   of it. Records are distinct in these, so a suffix that very many texts share is split like any
+   other. What reaches the driver is Spark's sample of such keys, up to 336 bytes each, 300 a
+   partition and three million at most.
+5. A bucket is read in its order and cut into chunks of CHUNK_RECORDS or less; a chunk sorts its
+   suffixes by multikey quicksort, eight bytes a key, and derives the common prefixes of neighbours.
+   The windows at offset o of two records are equal when the suffixes share LENGTH - o bytes and the
+   o bytes in front of the anchor have the same fingerprint.
+6. Chunks are compared across their borders: a run of suffixes that reaches a border may go on
+   behind it, so each of its windows leaves one row a chunk, and these are counted by fingerprint.
+7. The windows found go back to their texts, which drop the bytes that are covered.
 
 Texts are identified by a 128-bit digest, so copies of a text need no keys, and a third of all rows
 being one text costs one row after the first aggregation. Matches never cross texts.
@@ -25,6 +30,8 @@ columns are carried in a struct, so no name can clash.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -38,8 +45,9 @@ from .shared import store
 LENGTH = 200
 GRAM = 64
 STARTS = LENGTH - GRAM + 1  # places in a window at which a GRAM-string starts
-LEAD = 16  # leading bytes that the splitters look at
-BUFFER = 20_000  # records of a bucket that are gathered before whole groups of them are sorted
+BUFFER = 20_000  # records after which a chunk ends where the next suffix can have no match in it
+CHUNK_RECORDS = 40_000  # records after which a chunk ends anywhere
+BORDER_ROWS = 1 << 18  # rows of border windows that are gathered before they go out
 PLACE_BITS = 20
 
 U64 = np.uint64
@@ -104,23 +112,26 @@ def anchors(texts: DataFrame) -> DataFrame:
 
 
 def records(located: DataFrame) -> DataFrame:
-    """The bytes of all windows of an anchor, for (id1, id2, text, places)."""
+    """The bytes of all windows of an anchor, for (id1, id2, text, places): the suffix, and what is in front, reversed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys: list[list] = [[], [], []]
-            parts: list[bytes] = []
+            after: list[bytes] = []
+            front: list[bytes] = []
             for a, b, text, places in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 raw = text.encode()
                 for place in places:
                     at = place >> 16
-                    parts.append(raw[at - (place >> 8 & 255) : at + LENGTH - (place & 255)])
+                    after.append(raw[at : at + LENGTH - (place & 255)])
+                    front.append(raw[at - (place >> 8 & 255) : at][::-1])
                 keys[0] += [a] * len(places)
                 keys[1] += [b] * len(places)
                 keys[2] += places
-            yield pa.RecordBatch.from_arrays([*(pa.array(k, pa.int64()) for k in keys), pa.array(parts, pa.binary())], names=[*ID, "place", "record"])
+            columns = [*(pa.array(k, pa.int64()) for k in keys), pa.array(after, pa.binary()), pa.array(front, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=[*ID, "place", "suffix", "front"])
 
-    return located.mapInArrow(run, "id1 bigint, id2 bigint, place bigint, record binary")
+    return located.mapInArrow(run, "id1 bigint, id2 bigint, place bigint, suffix binary, front binary")
 
 
 def multikey_order(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -156,20 +167,35 @@ def multikey_order(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return order, shared
 
 
-def repeated_windows(parts: list[bytes], most: np.ndarray, fewest: np.ndarray, count: np.ndarray) -> np.ndarray:
-    """(records, STARTS) flags: the window at offset o of the record occurs elsewhere."""
-    n = len(parts)
-    right = b"".join(p[o:].ljust(LENGTH, b"\0") for p, o in zip(parts, most.tolist(), strict=True))
-    words = np.frombuffer(right, ">u8").astype(U64).reshape(n, LENGTH // 8)
-    left = b"".join(p[:o][::-1].ljust(STARTS, b"\0") for p, o in zip(parts, most.tolist(), strict=True))
-    before = np.frombuffer(left, np.uint8).reshape(n, STARTS)
+@lru_cache(maxsize=1)
+def _tables() -> np.ndarray:
+    """Random values of bytes: two tables for suffixes and two for what is in front of them."""
+    return bytekit.stream(41, 4 * 256).reshape(4, 256)
+
+
+def repeated_windows(suffixes: list[bytes], fronts: list[bytes], count: np.ndarray, before: int, after: int) -> tuple[np.ndarray, Iterator[tuple]]:
+    """(records, STARTS) flags: the window at offset o of the record occurs elsewhere in the chunk; and border windows.
+
+    `before` and `after` are the bytes that the first and last suffix may share with those outside
+    the chunk. Border windows come as (fingerprint, fingerprint, record or -1 if repeated, offset)
+    arrays by offset, each window once.
+    """
+    n = len(suffixes)
+    words = np.frombuffer(b"".join(p.ljust(LENGTH, b"\0") for p in suffixes), ">u8").astype(U64).reshape(n, LENGTH // 8)
+    ahead = np.frombuffer(b"".join(p.ljust(STARTS, b"\0") for p in fronts), np.uint8).reshape(n, STARTS)
     order, shared = multikey_order(words)
-    most, fewest, count, before = most[order], fewest[order], count[order], before[order]
+    most = np.array([len(p) for p in fronts])[order]
+    fewest = LENGTH - np.array([len(p) for p in suffixes])[order]
+    count, ahead = count[order], ahead[order]
+    shared[0] = before
+    reach = np.minimum.accumulate(shared)  # bytes shared with the suffix behind either border
+    reach = np.maximum(reach, np.minimum.accumulate(np.append(shared[1:], after)[::-1])[::-1])
+
     values, up = bytekit.byte_values(False), bytekit.powers()[0]
-    flags, front = np.zeros((n, STARTS), bool), np.zeros(n, U64)
+    flags, front, borders = np.zeros((n, STARTS), bool), np.zeros(n, U64), []
     for o in range(STARTS):
         if o:
-            front = front + values[before[:, o - 1]] * up[o]
+            front = front + values[ahead[:, o - 1]] * up[o]
         use = np.flatnonzero((fewest <= o) & (o <= most))
         if not len(use):
             continue
@@ -180,44 +206,119 @@ def repeated_windows(parts: list[bytes], most: np.ndarray, fewest: np.ndarray, c
         twice = np.zeros(len(use), bool)
         twice[sort[1:]] |= equal
         twice[sort[:-1]] |= equal
-        flags[use, o] = twice | (count[use] > 1)
+        twice |= count[use] > 1
+        flags[use, o] = twice
+        open_ = reach[use] >= LENGTH - o
+        if open_.any():
+            known = use[open_ & twice][np.unique(key[open_ & twice], return_index=True)[1]]
+            borders.append((o, use[open_ & ~twice], known))
     out = np.empty_like(flags)
     out[order] = flags
-    return out
-
 
-def _marks(rows: list[tuple]) -> pa.RecordBatch:
-    id1, id2, parts, most, fewest, count = zip(*rows, strict=True)
-    flags = repeated_windows(list(parts), np.array(most), np.array(fewest), np.array(count))
+    def border_windows() -> Iterator[tuple]:
+        """Fingerprints of 128 bits, from all bytes of a window; the prefix grows shorter as the offset grows."""
+        rows = np.unique(np.concatenate([np.concatenate((lone, known)) for _, lone, known in borders]))
+        texts, ahead_ = words[order[rows]].astype(">u8").view(np.uint8), ahead[rows]
+        tables = _tables()
+        prefix = [sum(t[texts[:, j]] * up[j] for j in range(LENGTH)) for t in tables[:2]]
+        fronts_ = [np.zeros(len(rows), U64) for _ in range(2)]
+        at = 0
+        for o, lone, known in borders:
+            while at < o:
+                at += 1
+                for k in range(2):
+                    prefix[k] = prefix[k] - tables[k][texts[:, LENGTH - at]] * up[LENGTH - at]
+                    fronts_[k] = fronts_[k] + tables[2 + k][ahead_[:, at - 1]] * up[at]
+            own = np.searchsorted(rows, np.concatenate((lone, known)))
+            prints = [bytekit.mixed(fronts_[k][own] + bytekit.mixed(prefix[k][own] + U64(o))) for k in range(2)]
+            yield *prints, np.concatenate((order[lone], np.full(len(known), -1))), np.full(len(own), o)
+
+    return out, border_windows() if borders else iter(())
+
+
+def _marks(rows: list[tuple], before: int, after: int) -> Iterator[pa.RecordBatch]:
+    suffixes, fronts, id1, id2, count = zip(*rows, strict=True)
+    flags, borders = repeated_windows(list(suffixes), list(fronts), np.array(count), before, after)
+    ids = [np.array(x, np.int64) for x in (id1, id2)]
     found = np.flatnonzero(flags.any(axis=1))
     bits = np.packbits(flags[found], axis=1, bitorder="little")
-    columns = [pa.array(np.array(x)[found], pa.int64()) for x in (id1, id2)]
-    return pa.RecordBatch.from_arrays([*columns, pa.array([b.tobytes() for b in bits], pa.binary())], names=["record1", "record2", "offsets"])
+    size = len(found)
+    columns = [pa.array(x[found]) for x in ids] + [pa.array([b.tobytes() for b in bits], pa.binary())]
+    yield pa.RecordBatch.from_arrays([*columns, *(pa.nulls(size, t) for t in (pa.int64(), pa.int64(), pa.int32()))], names=MARKS)
+    gathered, size = [], 0
+    for part in chain(borders, [None]):
+        if part is not None:
+            gathered.append(part)
+            size += len(part[0])
+        if gathered and (part is None or size >= BORDER_ROWS):
+            w1, w2, row, offset = (np.concatenate(x) for x in zip(*gathered, strict=True))
+            known = row < 0
+            columns = [pa.array(x[row], mask=known) for x in ids] + [pa.nulls(size, pa.binary()), pa.array(w1.view(np.int64)), pa.array(w2.view(np.int64))]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(offset.astype(np.int32))], names=MARKS)
+            gathered, size = [], 0
+
+
+def _common(a: bytes, b: bytes) -> int:
+    """Leading bytes that two suffixes share, each filled up with zeros to LENGTH."""
+    differ = int.from_bytes(a.ljust(LENGTH, b"\0")) ^ int.from_bytes(b.ljust(LENGTH, b"\0"))
+    return LENGTH - (differ.bit_length() + 7) // 8
+
+
+MARKS = ["record1", "record2", "offsets", "w1", "w2", "offset"]
 
 
 def marks(distinct: DataFrame) -> DataFrame:
-    """(record1, record2, offsets): offsets of repeated windows, a bit each, for records that have any.
+    """(record1, record2, offsets, w1, w2, offset): a row with the offsets of repeated windows, a bit each, for
+    records that have any, and a row with fingerprints for each border window (without record: repeated already).
 
-    A bucket is streamed in the order of its leading bytes; what is held is BUFFER records and the
-    group of equal leading bytes that was begun.
+    A bucket is streamed in its order, and no more than CHUNK_RECORDS of it are held. The first and
+    last suffix of a bucket may have equals in the buckets beside it.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
+        before = LENGTH
         for batch in batches:
-            for lead, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if len(held) >= BUFFER and lead != last:
-                    yield _marks(held)
-                    held = []
-                held.append(tuple(row))
-                last = lead
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if len(held) >= CHUNK_RECORDS or len(held) >= BUFFER and held[-1][0][:GRAM] != row[0][:GRAM]:
+                    shared = _common(held[-1][0], row[0])
+                    yield from _marks(held, before, shared)
+                    held, before = [], shared
+                held.append(row)
         if held:
-            yield _marks(held)
+            yield from _marks(held, before, LENGTH)
+
+    rows = distinct.select("suffix", "front", "record1", "record2", "count")
+    buckets = rows.repartitionByRange("suffix", "front").sortWithinPartitions("suffix")
+    return buckets.mapInArrow(run, "record1 bigint, record2 bigint, offsets binary, w1 bigint, w2 bigint, offset int")
 
-    lead = F.substring("record", F.col("most") + 1, F.lit(LEAD)).alias("lead")
-    rows = distinct.select(lead, "record1", "record2", "record", "most", "fewest", "count")
-    buckets = rows.repartitionByRange("lead").sortWithinPartitions("lead")
-    return buckets.mapInArrow(run, "record1 bigint, record2 bigint, offsets binary")
+
+def _bits(found: DataFrame) -> DataFrame:
+    """(record1, record2, offsets) with a bit for each of at most STARTS `found` offsets."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            flags = np.zeros((len(batch), STARTS), bool)
+            for row, found in zip(flags, batch.column(2).to_pylist(), strict=True):
+                row[found] = True
+            bits = np.packbits(flags, axis=1, bitorder="little")
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([b.tobytes() for b in bits], pa.binary())], names=MARKS[:3])
+
+    return found.groupBy("record1", "record2").agg(F.collect_set("offset")).mapInArrow(run, "record1 bigint, record2 bigint, offsets binary")
+
+
+def repeated_records(distinct: DataFrame) -> DataFrame:
+    """(record1, record2, offsets) of the repeated windows, found inside chunks and across their borders.
+
+    A border window has at most one row a chunk, whatever number of texts has it.
+    """
+    marked = store(marks(distinct), "marks")
+    border = marked.filter("w1 is not null")
+    times = F.sum(F.when(F.col("record1").isNull(), 2).otherwise(1))
+    common = store(border.groupBy("w1", "w2").agg(times.alias("n")).filter("n > 1").select("w1", "w2"), "border")
+    lone = border.filter("record1 is not null").select("w1", "w2", "record1", "record2", "offset")
+    across = _bits(lone.join(common, ["w1", "w2"], "left_semi"))
+    return marked.filter("w1 is null").select("record1", "record2", "offsets").unionByName(across)
 
 
 def repeats(docs: DataFrame, text: str = "text", carry: tuple[str, ...] = ("doc_id",), as_text: bool = False) -> DataFrame:
@@ -236,12 +337,12 @@ def repeats(docs: DataFrame, text: str = "text", carry: tuple[str, ...] = ("doc_
     spots = store(every.join(common, "print", "left_semi").select(*ID, "place").distinct().groupBy(*ID).agg(F.collect_list("place").alias("places")), "spots")
 
     located = texts.join(spots, ID).select(*ID, "text", "places")
-    most, fewest = F.shiftright("place", 8).bitwiseAND(255).cast("int"), F.col("place").bitwiseAND(255).cast("int")
-    one = [F.xxhash64("record", most, fewest).alias("record1"), F.xxhash64(F.lit(7), "record", most, fewest).alias("record2")]
-    found = store(records(located).select(*ID, "place", "record", most.alias("most"), fewest.alias("fewest"), *one), "records")
+    sizes = [F.octet_length("suffix"), F.octet_length("front")]
+    one = [F.xxhash64("suffix", "front", *sizes).alias("record1"), F.xxhash64(F.lit(7), "suffix", "front", *sizes).alias("record2")]
+    found = store(records(located).select(*ID, "place", "suffix", "front", *one), "records")
 
-    distinct = found.groupBy("record", "most", "fewest", "record1", "record2").agg(F.count("*").alias("count"))
-    marked = store(marks(distinct), "marks")
+    distinct = found.groupBy("suffix", "front", "record1", "record2").agg(F.count("*").alias("count"))
+    marked = repeated_records(distinct)
     spans = (
         found.select(*ID, "place", "record1", "record2").distinct()
         .join(marked, ["record1", "record2"])

@@ -76,3 +76,30 @@ def test_odd_rows_and_an_empty_table(spark):
     long = next(r for r in found if r["doc_id"] == 8)
     assert long["n_removed"] == 5000 and long["kept"] == ""
     assert substring_dedup.repeats(rows.limit(0)).count() == 0
+
+
+def test_windows_across_the_borders_of_small_chunks(spark, monkeypatch):
+    """A line and a passage of very many texts: chunks are cut inside their runs, and all borders are compared."""
+    monkeypatch.setattr(substring_dedup, "BUFFER", 20)
+    monkeypatch.setattr(substring_dedup, "CHUNK_RECORDS", 30)
+    rnd = random.Random(9)
+    text = lambda n: "".join(rnd.choice("abcdefgh \0") for _ in range(n))
+    line, passage, mid = text(120), text(330), text(198)
+    rows = [text(rnd.randrange(150)) + line + text(rnd.randrange(150)) for _ in range(400)]
+    rows += [text(rnd.randrange(150)) + passage[rnd.randrange(40) :] + text(rnd.randrange(150)) for _ in range(300)]
+    rows += [rnd.choice("abc") + mid + rnd.choice("abc") + text(90) for _ in range(60)]
+    rows += rows[:5]
+    found = check(spark, rows)
+    assert sum(removed == 0 for _, removed, _, _ in found.values()) > 300
+
+
+def test_a_hot_line_lies_in_many_chunks(spark):
+    """Texts around one line: the windows with it are counted, and no task holds all its records."""
+    rnd = random.Random(4)
+    line = "".join(rnd.choice("abcdefgh") for _ in range(120))
+    letters = lambda n: "".join(rnd.choice("ijklmnop") for _ in range(n)).encode()
+    records = [((line.encode() + letters(80)), letters(100)[: rnd.randrange(100)]) for _ in range(2000)]
+    rows = spark.createDataFrame([(s, f, i, i, 1) for i, (s, f) in enumerate(records)], "suffix binary, front binary, record1 long, record2 long, count int")
+    parts = rows.repartitionByRange(8, "suffix", "front").rdd.glom().map(len).collect()
+    assert max(parts) < 600
+    assert substring_dedup.repeated_records(rows).count() == 0
