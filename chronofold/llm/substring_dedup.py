@@ -7,10 +7,11 @@ GRAM-byte strings marks an anchor, and equal windows have equal anchors at equal
 1. Anchors: a window's leftmost smallest GRAM-string; about two in LENGTH - GRAM bytes are anchors.
 2. Anchors whose GRAM-string occurs once drop out; GRAM-strings are counted over all texts.
 3. The others carry the bytes of their windows. Equal records are counted first and go on once.
-4. Sampled splitters range-partition the records by the anchored suffix, then by the bytes in front
-   of it. Records are distinct in these, so a suffix that very many texts share is split like any
-   other. What reaches the driver is Spark's sample of such keys, up to 336 bytes each, 300 a
-   partition and three million at most.
+4. Sampled splitters range-partition the records by the leading GRAM bytes of the anchored suffix.
+   Where these occur more than HOT times, the rest of the suffix and the bytes in front of it split
+   further: records are distinct in these, so no lead is too frequent to be split. What reaches the
+   driver is Spark's sample of such keys, 300 a partition and three million at most, of GRAM bytes
+   each, or up to 336 for a hot lead.
 5. A bucket is read in its order and cut into chunks of CHUNK_RECORDS or less; a chunk sorts its
    suffixes by multikey quicksort, eight bytes a key, and derives the common prefixes of neighbours.
    The windows at offset o of two records are equal when the suffixes share LENGTH - o bytes and the
@@ -45,6 +46,7 @@ from .shared import store
 LENGTH = 200
 GRAM = 64
 STARTS = LENGTH - GRAM + 1  # places in a window at which a GRAM-string starts
+HOT = 1_000  # occurrences from which a lead is split by further bytes
 BUFFER = 20_000  # records after which a chunk ends where the next suffix can have no match in it
 CHUNK_RECORDS = 40_000  # records after which a chunk ends anywhere
 BORDER_ROWS = 1 << 18  # rows of border windows that are gathered before they go out
@@ -112,15 +114,19 @@ def anchors(texts: DataFrame) -> DataFrame:
 
 
 def records(located: DataFrame) -> DataFrame:
-    """The bytes of all windows of an anchor, for (id1, id2, text, places): the suffix, and what is in front, reversed."""
+    """The bytes of all windows of an anchor, for (id1, id2, text, spots): the suffix, and what is in front, reversed.
+
+    A spot is a place and, as its lowest bit, whether its lead is hot.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys: list[list] = [[], [], []]
+            keys: list[list] = [[], [], [], []]
             after: list[bytes] = []
             front: list[bytes] = []
-            for a, b, text, places in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for a, b, text, spots in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 raw = text.encode()
+                places = [spot >> 1 for spot in spots]
                 for place in places:
                     at = place >> 16
                     after.append(raw[at : at + LENGTH - (place & 255)])
@@ -128,10 +134,11 @@ def records(located: DataFrame) -> DataFrame:
                 keys[0] += [a] * len(places)
                 keys[1] += [b] * len(places)
                 keys[2] += places
-            columns = [*(pa.array(k, pa.int64()) for k in keys), pa.array(after, pa.binary()), pa.array(front, pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, names=[*ID, "place", "suffix", "front"])
+                keys[3] += [spot & 1 for spot in spots]
+            columns = [*(pa.array(k, pa.int64()) for k in keys[:3]), pa.array(keys[3], pa.int32()), pa.array(after, pa.binary()), pa.array(front, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=[*ID, "place", "hot", "suffix", "front"])
 
-    return located.mapInArrow(run, "id1 bigint, id2 bigint, place bigint, suffix binary, front binary")
+    return located.mapInArrow(run, "id1 bigint, id2 bigint, place bigint, hot int, suffix binary, front binary")
 
 
 def multikey_order(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -288,9 +295,9 @@ def marks(distinct: DataFrame) -> DataFrame:
         if held:
             yield from _marks(held, before, LENGTH)
 
-    rows = distinct.select("suffix", "front", "record1", "record2", "count")
-    buckets = rows.repartitionByRange("suffix", "front").sortWithinPartitions("suffix")
-    return buckets.mapInArrow(run, "record1 bigint, record2 bigint, offsets binary, w1 bigint, w2 bigint, offset int")
+    further = [F.when(F.col("hot") == 1, F.col(c)) for c in ("suffix", "front")]
+    buckets = distinct.repartitionByRange(F.substring("suffix", 1, GRAM), *further).sortWithinPartitions("suffix")
+    return buckets.select("suffix", "front", "record1", "record2", "count").mapInArrow(run, "record1 bigint, record2 bigint, offsets binary, w1 bigint, w2 bigint, offset int")
 
 
 def _bits(found: DataFrame) -> DataFrame:
@@ -333,15 +340,16 @@ def repeats(docs: DataFrame, text: str = "text", carry: tuple[str, ...] = ("doc_
 
     every = store(anchors(texts), "anchors")
     # Written first: the join below then stands on two exchanges, and Spark can split a frequent print.
-    common = store(every.groupBy("print").agg(F.count("*").alias("n")).filter("n > 1").select("print"), "prints")
-    spots = store(every.join(common, "print", "left_semi").select(*ID, "place").distinct().groupBy(*ID).agg(F.collect_list("place").alias("places")), "spots")
+    common = store(every.groupBy("print").agg(F.count("*").alias("n")).filter("n > 1").select("print", (F.col("n") > HOT).cast("bigint").alias("hot")), "prints")
+    spot = F.shiftleft("place", 1).bitwiseOR(F.col("hot")).alias("spot")
+    spots = store(every.join(common, "print").select(*ID, spot).distinct().groupBy(*ID).agg(F.collect_list("spot").alias("spots")), "spots")
 
-    located = texts.join(spots, ID).select(*ID, "text", "places")
+    located = texts.join(spots, ID).select(*ID, "text", "spots")
     sizes = [F.octet_length("suffix"), F.octet_length("front")]
     one = [F.xxhash64("suffix", "front", *sizes).alias("record1"), F.xxhash64(F.lit(7), "suffix", "front", *sizes).alias("record2")]
-    found = store(records(located).select(*ID, "place", "suffix", "front", *one), "records")
+    found = store(records(located).select(*ID, "place", "hot", "suffix", "front", *one), "records")
 
-    distinct = found.groupBy("suffix", "front", "record1", "record2").agg(F.count("*").alias("count"))
+    distinct = found.groupBy("suffix", "front", "record1", "record2", "hot").agg(F.count("*").alias("count"))
     marked = repeated_records(distinct)
     spans = (
         found.select(*ID, "place", "record1", "record2").distinct()

@@ -80,6 +80,7 @@ def test_odd_rows_and_an_empty_table(spark):
 
 def test_windows_across_the_borders_of_small_chunks(spark, monkeypatch):
     """A line and a passage of very many texts: chunks are cut inside their runs, and all borders are compared."""
+    monkeypatch.setattr(substring_dedup, "HOT", 50)
     monkeypatch.setattr(substring_dedup, "BUFFER", 20)
     monkeypatch.setattr(substring_dedup, "CHUNK_RECORDS", 30)
     rnd = random.Random(9)
@@ -93,13 +94,18 @@ def test_windows_across_the_borders_of_small_chunks(spark, monkeypatch):
     assert sum(removed == 0 for _, removed, _, _ in found.values()) > 300
 
 
-def test_a_hot_line_lies_in_many_chunks(spark):
-    """Texts around one line: the windows with it are counted, and no task holds all its records."""
+def test_a_hot_line_lies_in_many_chunks(spark, monkeypatch):
+    """Records around one line of 120 bytes are cut into chunks; windows in records of several chunks are found."""
+    monkeypatch.setattr(substring_dedup, "CHUNK_RECORDS", 100)
     rnd = random.Random(4)
-    line = "".join(rnd.choice("abcdefgh") for _ in range(120))
-    letters = lambda n: "".join(rnd.choice("ijklmnop") for _ in range(n)).encode()
-    records = [((line.encode() + letters(80)), letters(100)[: rnd.randrange(100)]) for _ in range(2000)]
-    rows = spark.createDataFrame([(s, f, i, i, 1) for i, (s, f) in enumerate(records)], "suffix binary, front binary, record1 long, record2 long, count int")
-    parts = rows.repartitionByRange(8, "suffix", "front").rdd.glom().map(len).collect()
-    assert max(parts) < 600
-    assert substring_dedup.repeated_records(rows).count() == 0
+    letters = lambda n, of="ijklmnop": "".join(rnd.choice(of) for _ in range(n)).encode()
+    line, shared = letters(120, "abcdefgh"), letters(100)
+    records = [(line + letters(80), letters(100)[: rnd.randrange(100)]) for _ in range(2000)]
+    records += [(line + bytes([c]) * 80, shared[::-1]) for c in b"hjlnpt"]
+    rows = [(s, f, i, i, 1, 1) for i, (s, f) in enumerate(records)]
+    distinct = spark.createDataFrame(rows, "suffix binary, front binary, record1 long, record2 long, count int, hot int").repartition(8)
+    inside = substring_dedup.marks(distinct).filter("offsets is not null").select("record1").distinct().count()
+    assert inside < 6  # the others have their equals behind a border
+    found = {r["record1"]: np.flatnonzero(np.unpackbits(np.frombuffer(r["offsets"], np.uint8), bitorder="little")) for r in substring_dedup.repeated_records(distinct).collect()}
+    # 80 to 100 bytes of the shared front and 120 to 100 of the line
+    assert {i: o.tolist() for i, o in found.items()} == {2000 + i: list(range(80, 101)) for i in range(6)}
