@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from ..session import cut_lineage
 from . import bytekit
-from .shared import store
+from .shared import store, trimmed
 
 SAMPLES = 256
 ROWS = 4  # values of a band
@@ -130,7 +130,7 @@ def sketches(docs: DataFrame, key: str = "doc_id", text: str = "text", percent:
 
     rows = docs.select(F.col(key).alias("key"), (F.col(carry) if carry else F.lit(None).cast("string")).alias("carry"), F.col(text).alias("text"))
     kinds = [rows.schema[c].dataType.simpleString() for c in ("key", "carry")]
-    return rows.mapInArrow(run, f"key {kinds[0]}, carry {kinds[1]}, n_shingles bigint, set1 bigint, set2 bigint, bands array<bigint>, sketch array<bigint>")
+    return rows.mapInArrow(trimmed(run), f"key {kinds[0]}, carry {kinds[1]}, n_shingles bigint, set1 bigint, set2 bigint, bands array<bigint>, sketch array<bigint>")
 
 
 def shingle_sets(docs: DataFrame) -> DataFrame:
@@ -149,7 +149,7 @@ def shingle_sets(docs: DataFrame) -> DataFrame:
                 sets = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(flat.view(np.int64)))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), sets], names=["node", "shingles"]).filter(pa.array(same))
 
-    return docs.select("node", "set1", "set2", "text").mapInArrow(run, "node bigint, shingles array<bigint>")
+    return docs.select("node", "set1", "set2", "text").mapInArrow(trimmed(run), "node bigint, shingles array<bigint>")
 
 
 def fine_sketches(sets: DataFrame) -> DataFrame:
@@ -163,7 +163,7 @@ def fine_sketches(sets: DataFrame) -> DataFrame:
                 offsets = np.concatenate(([0], np.cumsum([len(x) for x in part.column(1)])))
                 yield pa.RecordBatch.from_arrays([part.column(0), _lists(_odd_sketches(_minhashes(flat, offsets, FINE_SAMPLES), FINE_WORDS))], names=["node", "fine"])
 
-    return sets.select("node", "shingles").filter(F.size("shingles") > 0).mapInArrow(run, "node bigint, fine array<bigint>")
+    return sets.select("node", "shingles").filter(F.size("shingles") > 0).mapInArrow(trimmed(run), "node bigint, fine array<bigint>")
 
 
 def differing(a: str, b: str) -> Column:
@@ -171,8 +171,8 @@ def differing(a: str, b: str) -> Column:
     return F.expr(f"aggregate(zip_with({a}, {b}, (x, y) -> bit_count(x ^ y)), 0, (s, x) -> s + x)")
 
 
-def most_differing(percent: int, samples: int = SAMPLES, words: int = SKETCH_WORDS) -> int:
-    """Set bits that two sketches at the threshold stay under, with SLACK standard deviations.
+def most_differing(percent: int, samples: int = SAMPLES, words: int = SKETCH_WORDS, slack: float = SLACK) -> int:
+    """Set bits that two sketches at the threshold stay under, with `slack` standard deviations.
 
     m samples differ, so 2m elements fall into the bits; those that meet cancel, which takes two set
     bits each time.
@@ -181,7 +181,7 @@ def most_differing(percent: int, samples: int = SAMPLES, words: int = SKETCH_WOR
     elements = 2 * samples * miss
     mean = bits / 2 * (1 - (1 - 2 / bits) ** elements)
     by_samples, by_meeting = 4 * samples * miss * (1 - miss), 4 * elements**2 / (2 * bits)
-    return int(mean + SLACK * (by_samples + by_meeting) ** 0.5) + 1
+    return int(mean + slack * (by_samples + by_meeting) ** 0.5) + 1
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -222,6 +222,23 @@ def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return shared.filter(f"100L * i >= {percent}L * (na + nb - i)").select("a", "b").distinct()
 
 
+def across(parts: DataFrame, nodes: DataFrame, fine: DataFrame, percent: int, slack: float) -> DataFrame:
+    """The pairs (a, b) of members of a bucket, in different components, that sizes and fine sketches let through; in salted blocks."""
+    rest = parts.join(nodes.select("node", "n_shingles", "bands"), "node").join(fine, "node")
+    blocks = F.greatest(F.lit(1), F.ceil(F.col("n") / BLOCK).cast("int"))
+
+    def side(letter: str, block: Column) -> DataFrame:
+        return rest.select("bucket", *[F.col(c).alias(letter + c) for c in ("node", "root", "fine", "n_shingles", "bands")], block.alias("block"))
+
+    one = side("a_", F.pmod(F.xxhash64("node"), blocks))
+    other = side("b_", F.explode(F.sequence(F.lit(0).cast("bigint"), (blocks - 1).cast("bigint"))))
+    meet = (F.col("a_node") < F.col("b_node")) & (F.col("a_root") != F.col("b_root")) & F.expr(f"100 * least(a_n_shingles, b_n_shingles) >= {percent} * greatest(a_n_shingles, b_n_shingles)")
+    meet &= differing("a_fine", "b_fine") <= most_differing(percent, FINE_SAMPLES, FINE_WORDS, slack)
+    meet &= F.col("x.bucket") == F.get(F.array_intersect("a_bands", "b_bands"), F.lit(0))  # once for all buckets that a pair shares
+    met = one.alias("x").join(other.alias("y"), (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.block") == F.col("y.block")) & meet)
+    return met.select(F.col("a_node").alias("a"), F.col("b_node").alias("b")).distinct()
+
+
 def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = 85, carry: str | None = None) -> DataFrame:
     """(key, n_shingles, component_id, kept) for every row of `docs`.
 
@@ -260,23 +277,15 @@ def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: in
     roots = components(links)
 
     # What is still split is compared across components, by sketches fine enough that few pairs in
-    # vain reach the full sets.
-    parts = store(split(roots), "parts")
-    fine = store(fine_sketches(sets.join(parts.select("node").distinct(), "node", "left_semi")), "fine")
-    rest = parts.join(nodes.select("node", "n_shingles", "bands"), "node").join(fine, "node")
-    blocks = F.greatest(F.lit(1), F.ceil(F.col("n") / BLOCK).cast("int"))
-
-    def side(letter: str, block: Column) -> DataFrame:
-        return rest.select("bucket", *[F.col(c).alias(letter + c) for c in ("node", "root", "fine", "n_shingles", "bands")], block.alias("block"))
-
-    one = side("a_", F.pmod(F.xxhash64("node"), blocks))
-    other = side("b_", F.explode(F.sequence(F.lit(0).cast("bigint"), (blocks - 1).cast("bigint"))))
-    meet = (F.col("a_node") < F.col("b_node")) & (F.col("a_root") != F.col("b_root")) & F.expr(f"100 * least(a_n_shingles, b_n_shingles) >= {percent} * greatest(a_n_shingles, b_n_shingles)")
-    meet &= differing("a_fine", "b_fine") <= most_differing(percent, FINE_SAMPLES, FINE_WORDS)
-    meet &= F.col("x.bucket") == F.get(F.array_intersect("a_bands", "b_bands"), F.lit(0))  # once for all buckets that a pair shares
-    across = one.alias("x").join(other.alias("y"), (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.block") == F.col("y.block")) & meet)
-    more = confirm(across.select(F.col("a_node").alias("a"), F.col("b_node").alias("b")).distinct(), sets, percent)
-    roots = components(store(links.union(more), "links"))
+    # vain reach the full sets. First come the pairs that the sketches put at the threshold or above it;
+    # they connect most of a family, and only pairs still apart after that need the sketches' slack.
+    fine = None
+    for slack in (0, SLACK):
+        parts = store(split(roots), "parts")
+        if fine is None:
+            fine = store(fine_sketches(sets.join(parts.select("node").distinct(), "node", "left_semi")), "fine")
+        links = store(links.union(confirm(across(parts, nodes, fine, percent, slack), sets, percent)), "links")
+        roots = components(links)
 
     # From nodes back to rows, by the set's digest; a component's key is the smallest of its rows.
     named = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")).select(*sets_of, "key", "root")

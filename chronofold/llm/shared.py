@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -39,3 +42,24 @@ def fold(key: str = "doc_id", folds: int = 5) -> Column:
 
 def documents(spark, directory: str, *columns: str) -> DataFrame:
     return spark.read.parquet(f"{directory.rstrip('/')}/documents.parquet").select(*columns or ("doc_id", "text"))
+
+
+def give_back() -> None:
+    """Freed memory of this process goes back to the system, as far as its allocators can do that."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not the GNU C library
+        pass
+
+
+def trimmed(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """`run`, whose worker gives memory back after the task: workers outlive it, and what each step left unused in them would add up."""
+
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return wrapped
