@@ -27,6 +27,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from .shared import trimmed
+
 FOLDER = os.environ.get("TOKENIZER_DIR", "/opt/tokenizers")
 VOCABULARY = "byte_bpe_50k.json"
 
@@ -202,7 +204,7 @@ def encode(
             yield pa.RecordBatch.from_arrays([batch.column(0), counts, *columns], names=["key", "n_tokens", *made.names])
 
     rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
-    return rows.mapInArrow(run, f"key {kind}, n_tokens bigint, {schema or 'token_bytes binary'}").withColumnRenamed("key", key)
+    return rows.mapInArrow(trimmed(run), f"key {kind}, n_tokens bigint, {schema or 'token_bytes binary'}").withColumnRenamed("key", key)
 
 
 def decode(rows: DataFrame, key: str = "doc_id", path: str | None = None) -> DataFrame:
@@ -217,7 +219,7 @@ def decode(rows: DataFrame, key: str = "doc_id", path: str | None = None) -> Dat
 
     kind = rows.schema[key].dataType.simpleString()
     slim = rows.select(F.col(key).alias("key"), "n_tokens", "token_bytes")
-    return slim.mapInArrow(run, f"key {kind}, n_tokens bigint, token_bytes binary, text string").withColumnRenamed("key", key)
+    return slim.mapInArrow(trimmed(run), f"key {kind}, n_tokens bigint, token_bytes binary, text string").withColumnRenamed("key", key)
 
 
 def ids_array(column: str = "token_bytes"):

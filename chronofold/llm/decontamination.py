@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import bytekit
-from .shared import store
+from .shared import store, trimmed
 
 BITS = 64
 NEAR = 2  # bits in which a block may differ from the one that an item is listed under
@@ -104,7 +104,7 @@ def items(benchmark: DataFrame, key: str = "item_id", text: str = "text") -> Dat
                 yield _record(batch.column(0).slice(row, 1), start, size, _simhash(words, start, size), _bags(shingles, start, len(shingles)))
 
     rows = benchmark.filter(F.col(key).isNotNull()).select(F.col(key).cast("bigint").alias("key"), F.col(text).alias("text"))
-    return rows.mapInArrow(run, WINDOW_SCHEMA)
+    return rows.mapInArrow(trimmed(run), WINDOW_SCHEMA)
 
 
 def _bitmaps(benchmark: DataFrame, text: str = "text") -> tuple[bytes, bytes, list[int]]:
@@ -120,7 +120,7 @@ def _bitmaps(benchmark: DataFrame, text: str = "text") -> tuple[bytes, bytes, li
                 mask = (U64(1) << (place & 63).astype(U64)).view(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(which), pa.array((place >> 6).astype(np.int32)), pa.array(mask), pa.array(np.full(len(place), len(words), np.int32))], names=["which", "word", "mask", "size"])
 
-    marks = benchmark.select(F.col(text).alias("text")).mapInArrow(run, "which int, word int, mask bigint, size int")
+    marks = benchmark.select(F.col(text).alias("text")).mapInArrow(trimmed(run), "which int, word int, mask bigint, size int")
     words = np.zeros((2, 1 << (BITMAP_BITS - 6)), np.int64)
     for row in marks.groupBy("which", "word").agg(F.bit_or("mask").alias("mask")).collect():
         words[row["which"], row["word"]] = row["mask"]
@@ -164,7 +164,7 @@ def windows(docs: DataFrame, benchmark: DataFrame, percent: int, key: str = "doc
                         yield _record(keys, starts, size, prints, _bags(shingles, starts, n))
 
     rows = docs.filter(F.col(key).isNotNull()).select(F.col(key).cast("bigint").alias("key"), F.col(text).alias("text"))
-    return rows.mapInArrow(run, WINDOW_SCHEMA)
+    return rows.mapInArrow(trimmed(run), WINDOW_SCHEMA)
 
 
 def radius(percent: int) -> int:

@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import bytekit
-from .shared import store
+from .shared import store, trimmed
 
 LENGTH = 200
 GRAM = 64
@@ -49,6 +49,7 @@ STARTS = LENGTH - GRAM + 1  # places in a window at which a GRAM-string starts
 HOT = 1_000  # occurrences from which a lead is split by further bytes
 BUFFER = 20_000  # records after which a chunk ends where the next suffix can have no match in it
 CHUNK_RECORDS = 40_000  # records after which a chunk ends anywhere
+RECORD_TEXTS = 500  # texts whose records are made and go out together
 BORDER_ROWS = 1 << 18  # rows of border windows that are gathered before they go out
 PLACE_BITS = 20
 
@@ -110,7 +111,7 @@ def anchors(texts: DataFrame) -> DataFrame:
                 columns = [batch.column(0).take(rows), batch.column(1).take(rows), pa.array(at << 16 | most << 8 | fewest), pa.array(prints.view(np.int64))]
                 yield pa.RecordBatch.from_arrays(columns, names=[*ID, "place", "print"])
 
-    return texts.mapInArrow(run, "id1 bigint, id2 bigint, place bigint, print bigint")
+    return texts.mapInArrow(trimmed(run), "id1 bigint, id2 bigint, place bigint, print bigint")
 
 
 def records(located: DataFrame) -> DataFrame:
@@ -120,7 +121,7 @@ def records(located: DataFrame) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b.slice(i, RECORD_TEXTS) for b in batches for i in range(0, b.num_rows, RECORD_TEXTS)):
             keys: list[list] = [[], [], [], []]
             after: list[bytes] = []
             front: list[bytes] = []
@@ -138,7 +139,7 @@ def records(located: DataFrame) -> DataFrame:
             columns = [*(pa.array(k, pa.int64()) for k in keys[:3]), pa.array(keys[3], pa.int32()), pa.array(after, pa.binary()), pa.array(front, pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, names=[*ID, "place", "hot", "suffix", "front"])
 
-    return located.mapInArrow(run, "id1 bigint, id2 bigint, place bigint, hot int, suffix binary, front binary")
+    return located.mapInArrow(trimmed(run), "id1 bigint, id2 bigint, place bigint, hot int, suffix binary, front binary")
 
 
 def multikey_order(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -297,7 +298,7 @@ def marks(distinct: DataFrame) -> DataFrame:
 
     further = [F.when(F.col("hot") == 1, F.col(c)) for c in ("suffix", "front")]
     buckets = distinct.repartitionByRange(F.substring("suffix", 1, GRAM), *further).sortWithinPartitions("suffix")
-    return buckets.select("suffix", "front", "record1", "record2", "count").mapInArrow(run, "record1 bigint, record2 bigint, offsets binary, w1 bigint, w2 bigint, offset int")
+    return buckets.select("suffix", "front", "record1", "record2", "count").mapInArrow(trimmed(run), "record1 bigint, record2 bigint, offsets binary, w1 bigint, w2 bigint, offset int")
 
 
 def _bits(found: DataFrame) -> DataFrame:
@@ -311,7 +312,7 @@ def _bits(found: DataFrame) -> DataFrame:
             bits = np.packbits(flags, axis=1, bitorder="little")
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([b.tobytes() for b in bits], pa.binary())], names=MARKS[:3])
 
-    return found.groupBy("record1", "record2").agg(F.collect_set("offset")).mapInArrow(run, "record1 bigint, record2 bigint, offsets binary")
+    return found.groupBy("record1", "record2").agg(F.collect_set("offset")).mapInArrow(trimmed(run), "record1 bigint, record2 bigint, offsets binary")
 
 
 def repeated_records(distinct: DataFrame) -> DataFrame:
@@ -358,7 +359,7 @@ def repeats(docs: DataFrame, text: str = "text", carry: tuple[str, ...] = ("doc_
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b.slice(i, RECORD_TEXTS) for b in batches for i in range(0, b.num_rows, RECORD_TEXTS)):
             sizes, kept = [], []
             for text, spans in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 raw = text.encode()
@@ -376,7 +377,7 @@ def repeats(docs: DataFrame, text: str = "text", carry: tuple[str, ...] = ("doc_
 
     joined = whole.select("row", "text", *digest).join(spans, ID, "left").select("row", "text", "spans")
     schema = T.StructType([whole.schema["row"], *(T.StructField(c, T.LongType()) for c in ("n_bytes", "n_removed", "n_spans"))])
-    return joined.mapInArrow(run, schema.add("kept", T.StringType() if as_text else T.BinaryType()))
+    return joined.mapInArrow(trimmed(run), schema.add("kept", T.StringType() if as_text else T.BinaryType()))
 
 
 def covered(n: int, spans) -> np.ndarray:

@@ -30,6 +30,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import bytekit
+from .shared import trimmed
 
 BUCKET_BITS = 16
 BUCKETS = 1 << BUCKET_BITS
@@ -240,7 +241,7 @@ def learn(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
         model = train([r[2] for r in held], [r[1] for r in held])
         yield pa.RecordBatch.from_arrays([pa.array([model.bucket_logits.astype(np.float32).tobytes()], pa.binary()), pa.array([model.bias])], names=["logits", "bias"])
 
-    trained = sample(docs, labels, key, text, label).coalesce(1).mapInArrow(run, "logits binary, bias double").first()
+    trained = sample(docs, labels, key, text, label).coalesce(1).mapInArrow(trimmed(run), "logits binary, bias double").first()
     if trained is None:
         return Model.constant(0.0)
     return Model(np.frombuffer(bytes(trained["logits"]), np.float32).astype(np.float64), trained["bias"])
@@ -261,7 +262,7 @@ def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text"
 
     kind = docs.schema[key].dataType.simpleString()
     rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
-    return rows.mapInArrow(run, f"key {kind}, score double, predicted int").withColumnRenamed("key", key)
+    return rows.mapInArrow(trimmed(run), f"key {kind}, score double, predicted int").withColumnRenamed("key", key)
 
 
 def keep(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
@@ -275,4 +276,4 @@ def keep(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
             for a, b in bytekit.slices(np.concatenate(([0], np.cumsum([len(t) for t in texts])))):
                 yield batch.slice(a, b - a).filter(pa.array(scores(own, texts[a:b]) < 0.5))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(trimmed(run), docs.schema)
