@@ -146,8 +146,8 @@ def forecast_series(docs: DataFrame, captured_at: Column, keep: tuple[str, ...]
         data = s["data"]
         return F.struct(text.offset_timestamp(s["time"]).alias("at"), data["instant"]["details"]["air_temperature"].alias("degrees"),
                         data["next_1_hours"]["details"]["precipitation_amount"].alias("rain"))
-    parsed = pin(read, series=F.transform("d.properties.timeseries", point), updated=text.offset_timestamp(F.col("d.properties.meta.updated_at")),
-                 times=F.transform("d.properties.timeseries", lambda s: text.offset_timestamp(s["time"])))
+    clocked = pin(read, series=F.transform("d.properties.timeseries", point), updated=text.offset_timestamp(F.col("d.properties.meta.updated_at")))
+    parsed = clocked.withColumn("times", F.col("series.at"))  # clocks are parsed once
     series, times, updated = F.col("series"), F.col("times"), F.col("updated")
     def point_ok(p: Column) -> Column:
         degrees, rain, when = p["degrees"], p["rain"], p["at"]
