@@ -194,15 +194,20 @@ def envelopes(docs: DataFrame, now: Column, keep: tuple[str, ...] = ("doc_id",),
     parsed = pin(docs.select(*keep, "body"), e=F.from_json("body", ENVELOPE))
     e = F.col("e")
     producer, sources, artifacts, observations = e["producer"], e["sources"], e["artifacts"], e["observations"]
-    created = text.offset_timestamp(e["created_at"])
+
+    def clocked(rows: Column, clock: str, *fields: str) -> Column:
+        return F.transform(rows, lambda x: F.struct(text.offset_timestamp(x[clock]).alias("at"), *[x[f].alias(f) for f in fields]))
+    # every clock is parsed once, not again in each rule and for each pair
+    timed = pin(parsed, created=text.offset_timestamp(e["created_at"]), _seen=clocked(sources, "observed_at", "source_id"),
+                _fetched=clocked(artifacts, "downloaded_at"), _said=clocked(observations, "observed_at", "source_id"))
+    created = F.col("created")
     blocked, genuine = e["status"] == "BLOCKED", producer != "test-fixture"
     known_ids = F.transform(sources, lambda s: s["source_id"])
-    def late(c: Column) -> Column:
-        at = text.offset_timestamp(c)
-        return at.isNull() | (at > created)
+    def late(x: Column) -> Column:
+        return x["at"].isNull() | (x["at"] > created)
     def observed_after_source(o: Column) -> Column:
-        own = F.filter(sources, lambda s: s["source_id"] == o["source_id"])
-        return F.exists(own, lambda s: text.offset_timestamp(o["observed_at"]) > text.offset_timestamp(s["observed_at"]))
+        own = F.filter("_seen", lambda s: s["source_id"] == o["source_id"])
+        return F.exists(own, lambda s: o["at"] > s["at"])
     unexpected = F.size(F.array_except(F.json_object_keys("body"), F.array(*[F.lit(f) for f in FIELDS]))) > 0
     rules = {
         "PARSE_FAILED": strict_json(F.col("body")).isNotNull(),
@@ -220,15 +225,14 @@ def envelopes(docs: DataFrame, now: Column, keep: tuple[str, ...] = ("doc_id",),
         "SYNTHETIC_SOURCE_REQUIRED": ~genuine & F.exists(sources, lambda s: s["source_type"] != "SYNTHETIC"),
         "DUPLICATE_ARTIFACT": _repeats(F.transform(artifacts, lambda a: F.lower(a["relative_path"]))) | _repeats(F.transform(artifacts, lambda a: a["sha256"])),
         "OBSERVATION_SOURCE_UNKNOWN": F.exists(observations, lambda o: ~F.array_contains(known_ids, o["source_id"])),
-        "INVALID_TIMESTAMP_ORDER": F.exists(sources, lambda s: late(s["observed_at"])) | F.exists(artifacts, lambda a: late(a["downloaded_at"]))
-        | F.exists(observations, lambda o: late(o["observed_at"]) | observed_after_source(o)),
+        "INVALID_TIMESTAMP_ORDER": F.exists("_seen", late) | F.exists("_fetched", late) | F.exists("_said", lambda o: late(o) | observed_after_source(o)),
         "SYNTHETIC_LABEL_REQUIRED": ~genuine & F.exists(observations, lambda o: ~o["synthetic"]),
         "INVALID_ODDS": F.exists(observations, lambda o: (o["observation_type"] == "decimal_odds") & ~F.coalesce(o["value"].try_cast("double") > 1, F.lit(False))),
         "DUPLICATE_OBSERVATION": _repeats(F.transform(observations, lambda o: F.to_json(o))),
     }
     confirmed = _lookup(PROVENANCE, producer)
-    return pin(parsed, reasons=temporal.reasons(rules), created=created,
-               provenance=F.when(blocked & (confirmed == "DESKTOP_CONFIRMED"), "DESKTOP_BLOCKED").otherwise(confirmed))
+    judged = pin(timed, reasons=temporal.reasons(rules), provenance=F.when(blocked & (confirmed == "DESKTOP_CONFIRMED"), "DESKTOP_BLOCKED").otherwise(confirmed))
+    return judged.select(*parsed.columns, "reasons", "created", "provenance")
 
 
 def envelope_observations(judged: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
