@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scores
+from ..session import cut_lineage
 
 PROBS = ("p_home", "p_draw", "p_away")
 
@@ -90,6 +91,7 @@ def block_bootstrap(blocks: DataFrame, by: Sequence[str], draws: int = 400) -> D
     Input is already one row per (group, model, block); a draw only re-weights those rows.
     """
     by = list(by)
+    blocks = cut_lineage(blocks)  # read three times, and far fewer than the scores they are made of
     names = blocks.select(*by, "block").distinct()
     order = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
     placed = names.withColumn("slot", F.row_number().over(order.orderBy("block")).cast("bigint") - 1).withColumn(
@@ -108,6 +110,22 @@ def block_bootstrap(blocks: DataFrame, by: Sequence[str], draws: int = 400) -> D
     return overall.join(interval, [*by, "model_id"])
 
 
+LIMBS = ("_l0", "_l1", "_l2", "_l3")
+
+
+def row_digest(parts: Sequence[Column]) -> Column:
+    return F.sha2(F.concat_ws("|", *parts), 256)
+
+
+def limbs(digest: Column) -> list[Column]:
+    """Four integers of 48 bits of a row's digest."""
+    return [F.conv(F.substring(digest, 1 + 12 * i, 12), 16, 10).cast("decimal(20,0)") for i in range(len(LIMBS))]
+
+
+def folded_digest(n: Column, sums: Sequence[Column]) -> Column:
+    return F.sha2(F.concat_ws(":", n.cast("string"), *[x.cast("string") for x in sums]), 256)
+
+
 def set_digest(rows: DataFrame, by: Sequence[str], parts: Sequence[Column]) -> DataFrame:
     """Order-free digest of a multiset of rows per group.
 
@@ -115,10 +133,7 @@ def set_digest(rows: DataFrame, by: Sequence[str], parts: Sequence[Column]) -> D
     group, however large, is ever collected into a list.
     """
     by = list(by)
-    row = F.sha2(F.concat_ws("|", *parts), 256)
-    limbs = [F.conv(F.substring("_d", 1 + 12 * i, 12), 16, 10).cast("decimal(20,0)") for i in range(4)]
-    folded = rows.select(*by, row.alias("_d")).groupBy(*by).agg(
-        *[F.sum(limb).alias(f"_l{i}") for i, limb in enumerate(limbs)], F.count(F.lit(1)).alias("n_rows")
+    folded = rows.select(*by, row_digest(parts).alias("_d")).groupBy(*by).agg(
+        *[F.sum(limb).alias(c) for c, limb in zip(LIMBS, limbs(F.col("_d")))], F.count(F.lit(1)).alias("n_rows")
     )
-    joined = F.concat_ws(":", F.col("n_rows").cast("string"), *[F.col(f"_l{i}").cast("string") for i in range(4)])
-    return folded.select(*by, F.sha2(joined, 256).alias("digest"), "n_rows")
+    return folded.select(*by, folded_digest(F.col("n_rows"), [F.col(c) for c in LIMBS]).alias("digest"), "n_rows")
