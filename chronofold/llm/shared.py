@@ -10,9 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import shared_dir
-
-CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+from ..session import dropping_shuffles, shared_dir
 
 
 def scratch(spark, name: str) -> str:
@@ -26,12 +24,9 @@ def store(df: DataFrame, name: str, **options: str) -> DataFrame:
     The shuffle files of the write are dropped with it, as nothing reads them again.
     """
     spark = df.sparkSession
-    path, before = scratch(spark, name), spark.conf.get(CLEANUP, "false")
-    spark.conf.set(CLEANUP, "true")
-    try:
+    path = scratch(spark, name)
+    with dropping_shuffles(spark):
         df.write.options(**options).parquet(path)
-    finally:
-        spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
