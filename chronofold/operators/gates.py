@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text
@@ -45,19 +45,26 @@ def body_hash(columns: Sequence[str]) -> Column:
     return F.sha2(F.concat_ws("\u001f", *[F.coalesce(F.col(c), F.lit("\u0000")) for c in columns]), 256)
 
 
-def record_gate(records: DataFrame, at: Column, arrival: str, body: Sequence[str], seen: DataFrame | None = None,
-                rows_per_slice: int = 100_000) -> DataFrame:
+def record_gate(records: DataFrame, at: Column, arrival: str, body: Sequence[str], seen: DataFrame | Column | None = None,
+                rows_per_slice: int = 100_000, within: Sequence[str] = ()) -> DataFrame:
     """ACCEPT / QUARANTINE / REJECT per record with sorted reason codes.
 
     A repeated id is compared with the body that arrived just before it, or with `seen`
     (fixture_id, seen_hash) for the first arrival; slices of the arrival counter keep a hot id
     parallel. What only needs the record is judged before rows are dealt by id, so that columns nobody
-    reads later stay behind. `seen` may be of any size, and its estimate does not see rows that were exploded.
+    reads later stay behind. `seen` may be of any size, and its estimate does not see rows that were exploded;
+    it may also be a column of the records. Where an id belongs to one group, which `within` names, and records
+    are dealt by these few, ids are compared inside their groups and no record is shuffled.
     """
     hashed = records.withColumns({"body_hash": body_hash(body), "_own": record_reasons(at)})
-    stepped = running.with_previous(hashed, ["fixture_id"], [arrival], ["body_hash"], F.floor(F.col(arrival) / rows_per_slice))
+    if within:
+        stepped = hashed.withColumn("prev_body_hash", F.lag("body_hash").over(Window.partitionBy(*within, "fixture_id").orderBy(arrival)))
+    else:
+        stepped = running.with_previous(hashed, ["fixture_id"], [arrival], ["body_hash"], F.floor(F.col(arrival) / rows_per_slice))
     prior = F.col("prev_body_hash")
-    if seen is not None:
+    if isinstance(seen, Column):
+        prior = F.coalesce(prior, seen)
+    elif seen is not None:
         stepped = stepped.join(seen.hint("merge"), "fixture_id", "left")
         prior = F.coalesce(prior, F.col("seen_hash"))
     return judged(stepped, at, prior, F.col("_own")).drop("_own")
